@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocknames
+from . import blocknames, phrases, winnowing
 from .scratch import table
 
 
@@ -12,9 +12,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.assignments(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.removals(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op9_decontamination": op9_decontamination,
     }
 
 
@@ -27,4 +37,42 @@ WITH d AS (
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, s AS text_sha256
 FROM d WINDOW w AS (PARTITION BY s)""",
+        "op3_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT r, doc_id, i, hash(array_to_string(w[i:i + 49], ' ')) AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+early AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM win JOIN early USING (g) WHERE first < doc_id),
+gone_by AS (SELECT r, list(p) AS ps, count(*) AS n FROM gone GROUP BY r),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS t
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone_by USING (r) LEFT JOIN kept USING (r)""",
+        "op9_decontamination": r"""
+WITH f AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+b AS (
+  SELECT item_id, w, least(10, len(w)) AS m FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, f)
+  WHERE len(w) > 0),
+bw AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM b)),
+d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, f),
+dw AS (
+  SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM b))),
+hit AS (SELECT r, m, i, item_id FROM dw JOIN bw USING (m, g)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hit) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
     }
