@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocknames, phrases, winnowing
+from . import blocknames, dartminhash, phrases, winnowing
 from .scratch import table
 
 
@@ -16,6 +16,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.removals(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_classes(table(spark, sf_dir, "documents")).drop("_th")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +28,7 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_substring_dedup": op3_substring_dedup,
+        "op8_near_dedup": op8_near_dedup,
         "op9_decontamination": op9_decontamination,
     }
 

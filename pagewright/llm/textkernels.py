@@ -65,14 +65,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batch`` in runs of at most ``most`` bytes of text, or one row."""
+def slices(batch: pa.RecordBatch, name: str, most: int = CHUNK, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in runs of at most ``most`` bytes of text and ``rows`` rows, or one row."""
     if not batch.num_rows:
         return
     at, _ = column_bytes(batch.column(name))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
+        end = min(end, start + rows)
         yield batch.slice(start, end - start)
         start = end
 
