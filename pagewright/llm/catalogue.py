@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocknames, dartminhash, phrases, winnowing
+from . import blocknames, dartminhash, discriminant, latticepieces, novelty, phrases, semicrf, urlrules, winnowing
 from .scratch import table
 
 
@@ -12,10 +12,26 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.assignments(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semicrf.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.removals(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.verdicts(table(spark, sf_dir, "pages"), urlrules.rule_table(spark))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novelty.secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_classes(table(spark, sf_dir, "documents")).drop("_th")
 
@@ -24,12 +40,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latticepieces.round_trips(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_pii": op2_pii,
         "op3_substring_dedup": op3_substring_dedup,
+        "op5_url_filter": op5_url_filter,
+        "op6_secrets": op6_secrets,
+        "op7_quality": op7_quality,
         "op8_near_dedup": op8_near_dedup,
         "op9_decontamination": op9_decontamination,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
@@ -57,6 +82,17 @@ kept AS (
   FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x ANTI JOIN gone USING (r, p) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN gone_by USING (r) LEFT JOIN kept USING (r)""",
+        "op5_url_filter": r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS r FROM u),
+rules(h, q, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+hit AS (
+  SELECT r, h || q AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || q) DESC) AS k
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM hit WHERE k = 1) USING (r)""",
         "op9_decontamination": r"""
 WITH f AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 b AS (
