@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocknames, dartminhash, discriminant, latticepieces, novelty, phrases, semicrf, urlrules, winnowing
+from . import blocknames, dartminhash, discriminant, latticepieces, novelty, phrases, semicrf, urlrules, warcindex, winnowing
 from .scratch import table
 
 
@@ -20,6 +20,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.removals(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warcindex.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.verdicts(table(spark, sf_dir, "pages"), urlrules.rule_table(spark))
 
@@ -49,6 +53,7 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_pii": op2_pii,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_warc": op4_warc,
         "op5_url_filter": op5_url_filter,
         "op6_secrets": op6_secrets,
         "op7_quality": op7_quality,
@@ -82,6 +87,15 @@ kept AS (
   FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x ANTI JOIN gone USING (r, p) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN gone_by USING (r) LEFT JOIN kept USING (r)""",
+        "op4_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(h, (i // 4)::INTEGER * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM q""",
         "op5_url_filter": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
