@@ -128,14 +128,22 @@ class Model:
             return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
-def _sums(batches):
-    total = np.zeros((2, 1 + D + D * D))
+def _describing(batches):
     for whole in batches:
         for batch in T.slices(whole, "_text"):
-            x, label = statistics(batch.column("_text")), np.asarray(batch.column("_label"))
-            for k in (0, 1):
-                own = x[label == k]
-                total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+            x = statistics(batch.column("_text"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), T.list_array(np.full(len(x), D), pa.array(x.ravel().astype(np.float32)))], ["_id", "x"])
+
+
+def _sums(batches):
+    total = np.zeros((2, 1 + D + D * D))
+    for batch in batches:
+        x = batch.column("x").flatten().to_numpy().astype(float).reshape(-1, D)
+        label = np.asarray(batch.column("_label"))
+        for k in (0, 1):
+            own = x[label == k]
+            total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
     m = total.shape[1]
     yield pa.RecordBatch.from_arrays([
         pa.array(np.repeat([0, 1], m).astype(np.int32)), pa.array(np.tile(np.arange(m), 2).astype(np.int32)), pa.array(total.ravel()),
@@ -153,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(docs.sparkSession)
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_l_id"), F.col(label_col).cast("int").alias("_label"))
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    joined = rows.join(marks, rows["_id"] == marks["_l_id"]).select("_text", "_label")
+    # Statistics first: the join moves D numbers a row and no text.
+    rows = rows.mapInArrow(_describing, f"_id {docs.schema[id_col].dataType.simpleString()}, x array<float>")
+    joined = rows.join(marks, rows["_id"] == marks["_l_id"]).select("x", "_label")
     sums = np.zeros((2, 1 + D + D * D))
     for k, i, v in joined.mapInArrow(_sums, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
         sums[k, i] = v
