@@ -31,8 +31,7 @@ from .scratch import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-UNIT = re.compile(r" *+[^ \n]++| *+\n| ++")
-BLOCK, CACHED = 100_000, 400_000
+BLOCK, CACHED = 100_000, 700_000
 STEP, PLACE = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 
 
@@ -55,6 +54,25 @@ def vocabulary(path: str = MODEL) -> tuple[list[tuple[int, str, float]], list[in
     return pieces, by_byte, model.get_piece_size()
 
 
+def unit_pattern(pieces: list[str]) -> re.Pattern:
+    """Units that no piece crosses: spaces and a word, or spaces and a run from a mark on.
+
+    A mark is ASCII punctuation that pieces only have after other marks or a
+    space, so no piece reaches from a word into it.
+    """
+    before: dict[str, set[str]] = {}
+    for piece in pieces:
+        for a, b in zip(piece, piece[1:]):
+            before.setdefault(b, set()).add(a)
+    marks = {chr(c) for c in range(33, 127) if not chr(c).isalnum()}
+    while bad := {c for c in marks if before.get(c, set()) - marks - {" "}}:
+        marks -= bad
+    if not marks:
+        return re.compile(r" *+[^ \n]++| *+\n| ++")
+    some = re.escape("".join(sorted(marks)))
+    return re.compile(rf" *+[^ \n{some}]++| *+[{some}][^ \n]*+| *+\n| ++")
+
+
 class _Unseen(dict):
     """Numbers units in the order of their first look-up."""
 
@@ -63,6 +81,26 @@ class _Unseen(dict):
         return number
 
 
+class _Growing:
+    """An array that grows in place, at the cost of some spare room."""
+
+    def __init__(self, kind):
+        self._held, self._n = np.empty(1 << 16, kind), 0
+
+    def append(self, more: np.ndarray) -> None:
+        need = self._n + len(more)
+        if need > len(self._held):
+            held = np.empty(max(need, len(self._held) * 3 // 2), self._held.dtype)
+            held[: self._n] = self.all
+            self._held = held
+        self._held[self._n : need] = more
+        self._n = need
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._held[: self._n]
+
+
 class Sampler:
     """Encodes texts by sampling; holds the lattices of the units seen so far."""
 
@@ -75,25 +113,24 @@ class Sampler:
         self.length = np.zeros(size, np.int64)
         self.bytes: list[bytes] = [b""] * size
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.single: set[str] = set()
+        self.single = single = np.full(0x110000, -1, np.int32)  # pieces of one character, by code point
+        self.unit = unit_pattern([text for _, text, _ in pieces])
         for (i, text, _), w in zip(pieces, weight):
             self.log[i], self.length[i], self.bytes[i] = w - norm, len(text), text.encode()
-            self.automaton.add_word(text, i)
             if len(text) == 1:
-                self.single.add(text)
+                single[ord(text)] = i
+            else:
+                self.automaton.add_word(text, i)
         self.automaton.make_automaton()
         for b, i in enumerate(by_byte):
             self.bytes[i] = bytes([b])
         self.byte_log = float(weight.min() - norm) - 2.0
-        singles = np.array(sorted(ord(c) for c in self.single))
-        self.has_piece = np.zeros(0x110000, bool)
-        self.has_piece[singles] = True
         self.reset()
 
     def reset(self) -> None:
         self.units = _Unseen()
-        self.last = np.zeros(0, np.int64)  # node at the end of each unit
-        self.keys, self.ids, self.back = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.last = _Growing(np.int32)  # node at the end of each unit
+        self.keys, self.ids, self.back = _Growing(np.float64), _Growing(np.int32), _Growing(np.int32)
         self.nodes = 0
 
     def _learn(self, fresh: list[str]) -> None:
@@ -103,19 +140,24 @@ class Sampler:
         begin = np.cumsum(sizes + 1) - sizes - 1
         # A unit may hold "\n" itself, always as its last character; no piece has one, so matches never cross units.
         pairs = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
-        end, ids = pairs[:, 0] + 1, pairs[:, 1]
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-        owner = np.repeat(np.arange(len(fresh)), sizes)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[owner]
-        odd = inside[~self.has_piece[points[inside]]]
-        width = 1 + (points[odd] > 0x7F) + (points[odd] > 0x7FF) + (points[odd] > 0xFFFF)
-        start = np.concatenate([end - self.length[ids], odd])
-        log = np.concatenate([self.log[ids], width * self.byte_log])
-        end, ids = np.concatenate([end, odd + 1]), np.concatenate([ids, self.size + points[odd]])
-        unit = np.searchsorted(begin, end - 1, "right") - 1
-        level = end - begin[unit]
-        order = np.lexsort((end, level))
-        start, end, log, ids, level = start[order], end[order], log[order], ids[order], level[order]
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(fresh), dtype=np.int32), sizes + 1)[: len(joined)]
+        inside = np.flatnonzero(np.arange(len(joined)) < (begin + sizes)[owner])
+        char = self.single[points[inside]]
+        odd = char < 0
+        width = 1 + (points[inside] > 0x7F) + (points[inside] > 0x7FF) + (points[inside] > 0xFFFF)
+        end = np.concatenate([pairs[:, 0] + 1, inside + 1])
+        ids = np.concatenate([pairs[:, 1], np.where(odd, self.size + points[inside].astype(np.int64), char)])
+        log = np.concatenate([self.log[pairs[:, 1]], np.where(odd, width * self.byte_log, self.log[char])])
+        start = np.concatenate([pairs[:, 0] + 1 - self.length[pairs[:, 1]], inside])
+        first_of = begin[owner[end - 1]]
+        level = end - first_of
+        order = np.argsort(end, kind="stable")
+        if level.max() < 1 << 15:
+            order = order[np.argsort(level[order].astype(np.int16), kind="stable")]
+        else:
+            order = order[np.argsort(level[order], kind="stable")]
+        start, end, log, ids, level, first_of = (x[order] for x in (start, end, log, ids, level, first_of))
         new = np.ones(len(end), bool)
         new[1:] = end[1:] != end[:-1]
         node = np.cumsum(new) - 1
@@ -141,10 +183,11 @@ class Sampler:
         at = np.full(len(joined) + 2, -1, np.int64)
         at[end[group]] = np.arange(len(group)) + self.nodes
         back = at[start]
-        back[start == begin[np.searchsorted(begin, start, "right") - 1]] = -1
-        self.keys = np.concatenate([self.keys, node + self.nodes + run])
-        self.ids, self.back = np.concatenate([self.ids, ids]), np.concatenate([self.back, back])
-        self.last = np.concatenate([self.last, at[begin + sizes]])
+        back[start == first_of] = -1
+        self.keys.append(node + self.nodes + run)
+        self.ids.append(ids)
+        self.back.append(back)
+        self.last.append(at[begin + sizes])
         self.nodes += len(group)
 
     def sample(self, units: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,16 +199,17 @@ class Sampler:
         if len(self.units) > known:
             self._learn(list(islice(self.units, known, None)))
         who = np.argsort(code, kind="stable")
-        node, counts, drawn = self.last[code[who]], np.zeros(len(units), np.int64), []
+        keys, piece, before = self.keys.all, self.ids.all, self.back.all
+        node, counts, drawn = self.last.all[code[who]], np.zeros(len(units), np.int64), []
         step = 0
         while len(who):
             u = (T.mix(seeds[who] + T.U(step * STEP % (1 << 64))) >> T.U(11)).astype(float) * 2.0**-53
-            edge = np.searchsorted(self.keys, node + u, "right")
+            edge = np.searchsorted(keys, node + u, "right")
             # Rounding of node + u may reach the next node; the last edge is then meant.
-            edge -= self.keys[np.minimum(edge, len(self.keys) - 1)] > node + 1
-            drawn.append((who, self.ids[edge]))
+            edge -= keys[np.minimum(edge, len(keys) - 1)] > node + 1
+            drawn.append((who, piece[edge]))
             counts[who] += 1
-            node = self.back[edge]
+            node = before[edge]
             on = node >= 0
             who, node, step = who[on], node[on], step + 1
         place = np.cumsum(counts)
@@ -208,7 +252,7 @@ class Sampler:
         for row, text in enumerate(texts):
             if not text:
                 continue
-            matches, place = UNIT.finditer(" " + text), 0
+            matches, place = self.unit.finditer(" " + text), 0
             while block := [m[0] for m in islice(matches, BLOCK)]:
                 units += block
                 owners.append((row, place, len(block)))
@@ -283,7 +327,10 @@ def decoded(rows: DataFrame, ids_col: str = "piece_ids", out: str = "decoded", m
     def kernel(batches):
         table = _sampler(shared).bytes
         for batch in batches:
-            texts = [decode(table, ids or []) for ids in batch.column(ids_col).to_pylist()]
+            column = batch.column(ids_col)
+            column = column.fill_null([]) if column.null_count else column
+            at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            texts = [decode(table, flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` string"
