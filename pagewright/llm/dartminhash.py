@@ -13,8 +13,10 @@ twice the rank.
 Bands of the signature are joined; every candidate pair is settled on the true
 similarity. Within a bucket, pairs are formed between members of different
 components only and a growing number of centres (1, 2, 4, ...), until a bucket
-lies in one component or all its pairs are settled: no link between components
-is lost and a group of thousands of near copies costs one pair a member.
+lies in one component or all its pairs are settled. Shingles that one candidate
+alone has bound the similarity it can reach (f shared ones of n: at most
+f / (n + m - f) with a text of m), and pairs below the threshold are not formed. No link between components is lost, and a group
+of thousands of near copies costs a few pairs a member.
 
 With 32 bands of 4, a pair of similarity 0.8 is missed with probability 5e-8.
 """
@@ -24,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from . import textkernels as T
 from .components import components
@@ -97,7 +100,7 @@ def _signing(words: int, by_count: bool, bands: int, rows_per_band: int):
 
     def kernel(batches):
         for whole in batches:
-            for batch in T.slices(whole, "_text", rows=1000):
+            for batch in T.slices(whole, "_text", rows=200):
                 x = _Shingles(batch.column("_text"), words, by_count)
                 sig = signatures(x.row, x.element, x.size, t).reshape(batch.num_rows, bands, rows_per_band)
                 key = np.broadcast_to(np.arange(bands, dtype=T.U), sig.shape[:2]).copy()
@@ -136,6 +139,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return counted.where(F.col("i") >= threshold * (F.col("s") - F.col("i")) - 1e-9).select("u", "v")
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """(node, alone): how many of a node's shingles no other candidate has. They cannot be shared with a partner."""
+    each = sets.select("node", F.explode("shingles").alias("s"))
+    once = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8,
                  by_count: bool = False, bands: int = 32, rows_per_band: int = 4, bits: int = 23, growth: int = 8) -> DataFrame:
     """One row per row of ``docs``: id, class_id, class_size, kept, and _th (a hash of the text).
@@ -173,8 +183,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keys = texts.where("n > 0").select("node", "n", F.explode("bands").alias("key"))
     shared = stored(keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key"), "buckets")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
-    members = stored(keys.join(shared, "key").withColumn("place", place), "members")
+    members = stored(keys.join(shared, "key"), "members")
 
     candidates = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "c1", "c2", F.col("first._id").alias("_id"))
     candidates = stored(candidates, "candidates")
@@ -183,6 +192,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         slim.mapInArrow(_listing(words, by_count, wanted), "_id bigint, c1 bigint, c2 bigint, shingles array<bigint>")
         .join(candidates, ["_id", "c1", "c2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
 
+    able = sets.select("node").join(stored(_alone(sets), "alone"), "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    members = stored(
+        members.join(able, "node").withColumn("f", F.col("n") - F.col("alone")).where(F.col("f") >= threshold * F.col("n") - 1e-9)
+        .select("key", "node", "n", "f").withColumn("place", place), "able")
+
     roots, now, low, high = None, members.withColumn("root", F.col("node")), 0, 1
     while True:
         split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("place").alias("most"))
@@ -191,10 +206,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         active = now.join(split, "key").where(F.col("place") > low)
         centres = active.where(F.col("place") <= high).select(
-            "key", F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_n"), F.col("place").alias("c_place"))
+            "key", F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_n"), F.col("f").alias("c_f"),
+            F.col("place").alias("c_place"))
+        most = F.least("f", "c_f")
         pairs = active.join(centres, "key").where(
             (F.col("root") != F.col("c_root")) & (F.col("place") > F.col("c_place"))
-            & (F.least("n", "c_n") >= threshold * F.greatest("n", "c_n") - 1e-9)
+            & (most >= threshold * (F.col("n") + F.col("c_n") - most) - 1e-9)
         ).select(F.greatest("node", "c").alias("u"), F.least("node", "c").alias("v")).distinct()
         links = stored(_linked(pairs, sets, threshold), "links")
         low, high = high, high * growth
@@ -216,13 +233,36 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.col("_row") == F.col("head._row")).alias("kept"), "_th")
 
 
-def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of ``docs`` for each class, with all its columns (see ``near_classes``)."""
-    kept = stored(near_classes(docs, id_col, text_col, **options).where("kept").select(
-        F.col(id_col).alias("_n_id"), F.col("_th").alias("_n_th")), "kept")
+def _flagging(names: list[str], wanted: T.Bitmap):
+    def kernel(batches):
+        for batch in batches:
+            maybe = wanted.holds(np.asarray(batch.column("_n_key")).view(T.U))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*names, "_n_maybe"])
+
+    return kernel
+
+
+def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 26, **options) -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns (see ``near_classes``).
+
+    Only rows that a bit array of fixed size names as perhaps dropped are
+    shuffled, to settle it by an anti-join on id and text hash.
+    """
+    classes = stored(near_classes(docs, id_col, text_col, **options), "classes")
+    key = lambda i, h: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), h)
+    lost = classes.where("not kept").select(
+        F.col(id_col).alias("_n_id"), F.col("_th").alias("_n_th"), key(F.col(id_col), F.col("_th")).alias("k"))
+    kept = classes.where("kept").select(F.col(id_col).alias("_n_id"), F.col("_th").alias("_n_th"), key(F.col(id_col), F.col("_th")).alias("k"))
+    again = lost.join(kept, lost["k"] == kept["k"], "left_semi").distinct()  # rows repeated with the kept one
     hashed = docs.withColumn("_n_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    stay = hashed.join(kept, F.col(id_col).eqNullSafe(F.col("_n_id")) & (F.col("_n_hash") == F.col("_n_th")), "left_semi")
-    repeated = stay.groupBy(id_col, "_n_hash").count().where("count > 1")
-    if repeated.isEmpty():
-        return stay.drop("_n_hash")
-    return stay.dropDuplicates([id_col, "_n_hash"]).drop("_n_hash")
+    hashed = hashed.withColumn("_n_key", key(F.col(id_col), F.col("_n_hash")))
+    schema = StructType([*hashed.schema.fields, StructField("_n_maybe", BooleanType())])
+    flagged = hashed.mapInArrow(_flagging(hashed.columns, T.collect_bitmap(lost, "k", bits)), schema)
+    on = F.col(id_col).eqNullSafe(F.col("_n_id")) & (F.col("_n_hash") == F.col("_n_th"))
+    gone = lost.select("_n_id", "_n_th").distinct()
+    stay = flagged.where(~F.col("_n_maybe")).unionByName(flagged.where("_n_maybe").join(gone, on, "left_anti"))
+    extra = ["_n_hash", "_n_key", "_n_maybe"]
+    if again.isEmpty():
+        return stay.drop(*extra)
+    once = flagged.where("_n_maybe").join(again.select("_n_id", "_n_th"), on, "left_semi").dropDuplicates([id_col, "_n_hash"])
+    return stay.unionByName(once).drop(*extra)
