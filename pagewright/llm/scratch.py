@@ -54,9 +54,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch; texts can be long, and a worker holds a batch or two.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever the driver found it."""
+    """Make this package importable in Python workers, wherever the driver found it.
+
+    Where the session has Spark's default for rows in an Arrow batch, which suits
+    numbers rather than texts, it is lowered.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId in _SHIPPED:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

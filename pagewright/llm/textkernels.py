@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BYTE_BASE, WORD_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
