@@ -370,7 +370,7 @@ NAMES = (
     "word_diff name_stems document_bytes select_pages extract_pages select_odd select_even delete_pages reverse_pages move_page insert_blank split_every merge_docs "
     "page_numbers nup booklet indices_to_spec shift_bookmarks dedupe_exact dedupe_fixpoint reachable inherit_attr remap_refs flatten_tree name_tree "
     "image_display_size extract_first_use skip_reasons hit_test annot_select annot_remove flatten_split annot_pages list_fields set_fields bookmarks links "
-    "metadata_patch rect_algebra rotate_normalise resize_fit place_anchor matrix_inverse permissions output_names preset_pipeline corpus_scan"
+    "metadata_patch rect_algebra rotate_normalise resize_fit place_anchor matrix_inverse permissions output_names preset_pipeline corpus_scan codec_roundtrip flate_roundtrip"
 ).split()
 
 
@@ -488,6 +488,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, part, 'talk-' || doc_id || '.out' || CASE WHEN total > 1 THEN '-' || (part + 1) ELSE '' END || '.pdf' AS out_name FROM p""",
         "preset_pipeline": f"""WITH r AS (SELECT doc_id, n - 1 - page_ix AS ix, n, text FROM {_PAGES})
             SELECT doc_id, ix // 3 AS part, ix % 3 AS page_ix, CASE WHEN ix % 2 = 0 THEN 90 ELSE 0 END AS rotation, text FROM r WHERE ix < n - 1""",
+        "codec_roundtrip": f"""SELECT doc_id, count(DISTINCT line_ix // 45) AS n_pages, true AS same FROM {_LINES}
+            WHERE trim(regexp_replace(substr(text, 1, 100), '\\s+', ' ', 'g')) <> '' GROUP BY doc_id""",
         "corpus_scan": "SELECT source, count(*) AS docs, sum((length(text) > 20)::INT)::BIGINT AS with_text, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest FROM documents GROUP BY source",
     }
 
