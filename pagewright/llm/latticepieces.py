@@ -252,8 +252,12 @@ class Sampler:
         for row, text in enumerate(texts):
             if not text:
                 continue
-            matches, place = self.unit.finditer(" " + text), 0
-            while block := [m[0] for m in islice(matches, BLOCK)]:
+            if len(text) < BLOCK:  # at most so many units
+                matches = iter(self.unit.findall(" " + text))
+            else:
+                matches = (m[0] for m in self.unit.finditer(" " + text))
+            place = 0
+            while block := list(islice(matches, BLOCK)):
                 units += block
                 owners.append((row, place, len(block)))
                 place += len(block)
