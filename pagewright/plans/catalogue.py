@@ -359,6 +359,27 @@ def codec_roundtrip(spark, d):
     return docs_io.round_trip(spark, table(spark, d, "documents"))
 
 
+def preset_files(spark, d):
+    """Conversations written as files, a preset run on each, and the outputs read again."""
+    from pagewright.sources import batch, documents as docs_io
+
+    steps = [{"op": "reverse"}, {"op": "delete-pages", "pages": "last"}, {"op": "stamp-text", "text": "{page}/{pages}"}, {"op": "split", "every": 3}]
+    named = conversation_pages(spark, d).select(F.col("doc_id").cast("string").alias("name"), "page_ix", F.concat(F.lit("turn"), F.col("page_ix").cast("string")).alias("text"))
+    made = batch.run(presets.Preset("files", steps), docs_io.write(named))
+    back = docs_io.pages(made.select(F.col("out_name").alias("name"), "data"))
+    part = F.coalesce(F.try_element_at(F.split(F.regexp_replace("name", r"\.pdf$", ""), "-"), F.lit(2)).cast("int"), F.lit(1)) - 1
+    return back.select(F.regexp_extract("name", r"^[0-9]+", 0).cast("bigint").alias("doc_id"), part.alias("part"), "page_ix", F.regexp_extract("text", r"turn[0-9]+", 0).alias("turn"), F.regexp_extract("text", r"[0-9]+/[0-9]+", 0).alias("stamp"))
+
+
+def object_types(spark, d):
+    """Objects of written files by type: what the writer makes of a document of n pages."""
+    from pagewright.sources import documents as docs_io
+
+    named = conversation_pages(spark, d).select(F.col("doc_id").cast("string").alias("name"), "page_ix", F.concat(F.lit("turn"), F.col("page_ix").cast("string")).alias("text"))
+    found = docs_io.objects(docs_io.write(named))
+    return found.groupBy(F.col("name").cast("bigint").alias("doc_id"), "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flate_roundtrip(spark, d):
     from pagewright.sources import documents as docs_io
 
@@ -370,7 +391,7 @@ NAMES = (
     "word_diff name_stems document_bytes select_pages extract_pages select_odd select_even delete_pages reverse_pages move_page insert_blank split_every merge_docs "
     "page_numbers nup booklet indices_to_spec shift_bookmarks dedupe_exact dedupe_fixpoint reachable inherit_attr remap_refs flatten_tree name_tree "
     "image_display_size extract_first_use skip_reasons hit_test annot_select annot_remove flatten_split annot_pages list_fields set_fields bookmarks links "
-    "metadata_patch rect_algebra rotate_normalise resize_fit place_anchor matrix_inverse permissions output_names preset_pipeline corpus_scan codec_roundtrip flate_roundtrip"
+    "metadata_patch rect_algebra rotate_normalise resize_fit place_anchor matrix_inverse permissions output_names preset_pipeline corpus_scan codec_roundtrip preset_files object_types flate_roundtrip"
 ).split()
 
 
@@ -490,6 +511,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, ix // 3 AS part, ix % 3 AS page_ix, CASE WHEN ix % 2 = 0 THEN 90 ELSE 0 END AS rotation, text FROM r WHERE ix < n - 1""",
         "codec_roundtrip": f"""SELECT doc_id, count(DISTINCT line_ix // 45) AS n_pages, true AS same FROM {_LINES}
             WHERE trim(regexp_replace(substr(text, 1, 100), '\\s+', ' ', 'g')) <> '' GROUP BY doc_id""",
+        "preset_files": f"""WITH r AS (SELECT doc_id, n - 1 - page_ix AS ix, n, page_ix FROM {_PAGES})
+            SELECT doc_id, ix // 3 AS part, ix % 3 AS page_ix, 'turn' || page_ix AS turn, (ix + 1) || '/' || (n - 1) AS stamp FROM r WHERE ix < n - 1""",
+        "object_types": f"""WITH c AS (SELECT doc_id, max(n) AS n FROM {_PAGES} GROUP BY doc_id)
+            SELECT doc_id, 'dictionary' AS type, n + 3 AS n FROM c UNION ALL SELECT doc_id, 'stream', n FROM c""",
         "corpus_scan": "SELECT source, count(*) AS docs, sum((length(text) > 20)::INT)::BIGINT AS with_text, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest FROM documents GROUP BY source",
     }
 
