@@ -12,11 +12,12 @@ twice the rank.
 
 Bands of the signature are joined; every candidate pair is settled on the true
 similarity. Within a bucket, pairs are formed between members of different
-components only and a growing number of centres (1, 2, 4, ...), until a bucket
+components only and a growing number of centres (1, 8, 64, ...), until a bucket
 lies in one component or all its pairs are settled. Shingles that one candidate
 alone has bound the similarity it can reach (f shared ones of n: at most
-f / (n + m - f) with a text of m), and pairs below the threshold are not formed. No link between components is lost, and a group
-of thousands of near copies costs a few pairs a member.
+f / (n + m - f) with a text of m), and so do bit arrays of both texts' shingles;
+pairs that stay below the threshold are not formed. No link between components
+is lost, and a group of thousands of near copies costs a few pairs a member.
 
 With 32 bands of 4, a pair of similarity 0.8 is missed with probability 5e-8.
 """
@@ -33,6 +34,7 @@ from .components import components
 from .scratch import ship, stored
 
 LAST = (1 << 63) - 1
+MARK_WORDS = 16  # 64-bit words of the bit array that marks a text's shingles
 LAYER, CELL, DART = T.U(0xA24BAED4963EE407), T.U(0x9FB21C651E98DF25), T.U(0xD6E8FEB86659FD93)
 
 
@@ -122,10 +124,15 @@ def _listing(words: int, by_count: bool, wanted: T.Bitmap):
                 ids = np.asarray(batch.column("_id")).astype(T.U)
                 take = wanted.holds(x.c1 ^ ids)
                 rows = np.flatnonzero(take)
+                mine = take[x.row]
+                marks = np.zeros((batch.num_rows, MARK_WORDS), T.U)
+                slot = x.element[mine] % T.U(64 * MARK_WORDS)
+                np.bitwise_or.at(marks, (x.row[mine], (slot >> T.U(6)).astype(np.int64)), T.U(1) << (slot & T.U(63)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("_id").take(pa.array(rows)), pa.array(T.signed(x.c1[rows])), pa.array(T.signed(x.c2[rows])),
-                    T.list_array(x.size[rows], pa.array(T.signed(x.element[take[x.row]]))),
-                ], ["_id", "c1", "c2", "shingles"])
+                    T.list_array(x.size[rows], pa.array(T.signed(x.element[mine]))),
+                    T.list_array(np.full(len(rows), MARK_WORDS), pa.array(T.signed(marks[rows].ravel()))),
+                ], ["_id", "c1", "c2", "shingles", "marks"])
 
     return kernel
 
@@ -139,6 +146,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return counted.where(F.col("i") >= threshold * (F.col("s") - F.col("i")) - 1e-9).select("u", "v")
 
 
+def _lacking(a: str, b: str):
+    """How many marks of ``a`` are not in ``b``: as many shingles of the first text, at least, are not in the second."""
+    words = [F.bit_count(F.get(a, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(k))))) for k in range(MARK_WORDS)]
+    return sum(words[1:], words[0])
+
+
 def _alone(sets: DataFrame) -> DataFrame:
     """(node, alone): how many of a node's shingles no other candidate has. They cannot be shared with a partner."""
     each = sets.select("node", F.explode("shingles").alias("s"))
@@ -189,14 +202,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = stored(candidates, "candidates")
     wanted = T.collect_bitmap(candidates.select(F.col("c1").bitwiseXOR(F.col("_id")).alias("k")), "k", bits)
     sets = stored(
-        slim.mapInArrow(_listing(words, by_count, wanted), "_id bigint, c1 bigint, c2 bigint, shingles array<bigint>")
-        .join(candidates, ["_id", "c1", "c2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+        slim.mapInArrow(_listing(words, by_count, wanted), "_id bigint, c1 bigint, c2 bigint, shingles array<bigint>, marks array<bigint>")
+        .join(candidates, ["_id", "c1", "c2"]).select("node", "shingles", "marks").dropDuplicates(["node"]), "sets")
 
-    able = sets.select("node").join(stored(_alone(sets), "alone"), "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+    able = sets.select("node", "marks").join(stored(_alone(sets), "alone"), "node", "left").select("node", "marks", F.coalesce("alone", F.lit(0)).alias("alone"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
     members = stored(
         members.join(able, "node").withColumn("f", F.col("n") - F.col("alone")).where(F.col("f") >= threshold * F.col("n") - 1e-9)
-        .select("key", "node", "n", "f").withColumn("place", place), "able")
+        .select("key", "node", "n", "f", "marks").withColumn("place", place), "able")
 
     roots, now, low, high = None, members.withColumn("root", F.col("node")), 0, 1
     while True:
@@ -207,8 +220,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         active = now.join(split, "key").where(F.col("place") > low)
         centres = active.where(F.col("place") <= high).select(
             "key", F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_n"), F.col("f").alias("c_f"),
-            F.col("place").alias("c_place"))
-        most = F.least("f", "c_f")
+            F.col("place").alias("c_place"), F.col("marks").alias("c_marks"))
+        most = F.least("f", "c_f", F.col("n") - _lacking("marks", "c_marks"), F.col("c_n") - _lacking("c_marks", "marks"))
         pairs = active.join(centres, "key").where(
             (F.col("root") != F.col("c_root")) & (F.col("place") > F.col("c_place"))
             & (most >= threshold * (F.col("n") + F.col("c_n") - most) - 1e-9)
