@@ -23,23 +23,25 @@ def _lines_of(rows: list[dict]) -> list[dict]:
     0.12 of the size, becomes a space.
     """
     def turned(g):
-        angle = round(math.degrees(math.atan2(g.get("dy") or 0.0, 1.0 if g.get("dx") is None else g["dx"])) / 5) % 72
+        x, y, dy = g["x0"], g["baseline"], g.get("dy")
+        if not dy and (g.get("dx") is None or g["dx"] > 0):
+            return 0, x, y, 0.0
+        angle = round(math.degrees(math.atan2(dy or 0.0, g["dx"])) / 5) % 72
         turn = math.radians(angle * 5)
-        x, y = g["x0"], g["baseline"]
         return angle, x * math.cos(turn) + y * math.sin(turn), -x * math.sin(turn) + y * math.cos(turn), turn
 
     marked = [(g, *turned(g)) for g in rows]
     marked.sort(key=lambda m: (m[1], -m[3], m[2]))
     groups: list[list] = []
+    angle, total, largest = None, 0.0, 0.0  # of the line so far
     for m in marked:
-        if groups:
-            line = groups[-1]
-            mean = sum(o[3] for o in line) / len(line)
-            largest = max(max(o[0]["size"] for o in line), m[0]["size"])
-            if m[1] == line[0][1] and abs(m[3] - mean) <= NEW_LINE * largest:
-                line.append(m)
-                continue
-        groups.append([m])
+        size = m[0]["size"]
+        if groups and m[1] == angle and abs(m[3] - total / len(groups[-1])) <= NEW_LINE * max(largest, size):
+            groups[-1].append(m)
+            total, largest = total + m[3], max(largest, size)
+        else:
+            groups.append([m])
+            angle, total, largest = m[1], m[3], size
     out = []
     for line in groups:
         line.sort(key=lambda m: m[2])
