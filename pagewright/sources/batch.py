@@ -64,7 +64,6 @@ def _resize(file, indices, target=None, factor=None, mode="fit") -> None:
 
 def _sheets(file, slots: list[list[int | None]], w: float, h: float, columns: int, rows: int, margin: float) -> None:
     """Replace the pages by sheets that show them in cells, as large as fits and centred."""
-    pages = file.pages()
     new = []
     for sheet in slots:
         body, forms = b"", {}
@@ -80,15 +79,13 @@ def _sheets(file, slots: list[list[int | None]], w: float, h: float, columns: in
             to = edit.display_matrix(x0, y0, x1, y1, turn)
             a, b, c, d, e, f = to
             back = (d, -b, -c, a, c * f - d * e, b * e - a * f)  # quarter turns have determinant 1
-            form = Stream({"Type": "XObject", "Subtype": edit.Name("Form"), "BBox": [x0, y0, x1, y1], "Resources": page.get("Resources") or {}}, file.content(page))
-            form.head["Type"] = edit.Name("XObject")
+            form = Stream({"Type": edit.Name("XObject"), "Subtype": edit.Name("Form"), "BBox": [x0, y0, x1, y1], "Resources": page.get("Resources") or {}}, file.content(page))
             forms[f"P{k}"] = file.add(form)
             spot = (scale, 0, 0, scale, left + (cw - 2 * margin - pw * scale) / 2, low + (ch - 2 * margin - ph * scale) / 2)
             body += b"q\n%s cm\n/P%d Do\nQ\n" % (b" ".join(map(edit.n, content._times(back, spot))), k)
         new.append(container.add_page(file, body, {"XObject": forms}, w, h))
     node = file.resolve(file.root["Pages"])
     node["Kids"], node["Count"] = new, len(new)
-    del pages
 
 
 def apply_step(file: container.File, step: dict, assets: dict[str, bytes], warnings: list[str]) -> None:
@@ -162,7 +159,8 @@ def apply_step(file: container.File, step: dict, assets: dict[str, bytes], warni
             sides = [[page(total - 1 - k), page(k)] if k % 2 == 0 else [page(k), page(total - 1 - k)] for k in range(total // 2)]
             _sheets(file, sides, w, h, 2, 1, step.get("margin", 0))
     elif op == "compress-images":
-        warnings.append("compress-images: no JPEG encoder, images are left as they are")
+        done = edit.compress_images(file, step.get("dpi", 150))
+        warnings += [f"{n} images not compressed: {why}" for why, n in sorted(done["skipped"].items(), key=lambda kv: (-kv[1], kv[0]))]
     elif op != "split":
         raise PresetError(f"unknown step {op!r}")
 
