@@ -111,7 +111,8 @@ def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result; other columns are not read.
     """
     found = identities(docs, id_col, text_col, **options)
-    groups = found.groupBy("level", "name").agg(F.max("_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Stored, so that both sides of the join are dealt anew and a hot name can be split.
+    groups = stored(found.groupBy("level", "name").agg(F.max("_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     turn = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_turn")
     return found.join(groups, ["level", "name"]).select("*", turn).select(
         F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
