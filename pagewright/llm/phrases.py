@@ -190,7 +190,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             _single_windows(length, wanted),
             "_id bigint, _th bigint, h bigint, a bigint, b bigint, p int, windows array<struct<w1:bigint,w2:bigint,i:int>>",
         ).join(several, content).where("_id = lo").select("_id", "_th", "p", F.inline("windows")), "windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.min("_id").alias("first"))
+    # Only windows of several documents; stored, so that a hot window can be split in the join.
+    earliest = stored(windows.groupBy("w1", "w2").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last"), "earliest")
     single = windows.join(earliest, ["w1", "w2"]).where("first < _id").select(
         "_id", "_th", "p", F.col("i").alias("s"), F.lit(1).alias("n"))
 
