@@ -196,8 +196,8 @@ def run(preset: Preset, pages: DataFrame) -> DataFrame:
     """The pages of all outputs; mode ``merge`` concatenates the inputs first, named after the first of them."""
     preset.validate()
     if preset.mode == "merge":
-        first = pages.agg(F.min(P.DOC).alias("_first"))
-        pages = P.merge(pages.crossJoin(F.broadcast(first)), "_first").drop("from_doc", "from_page", "_first")  # one row
+        first = pages.agg(F.min(P.DOC)).first()[0]  # one value
+        pages = P.merge(pages, F.lit(first)).drop("from_doc", "from_page")
     for name, kind in (("rotation", "int"), ("marks", "array<string>")):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(0) if name == "rotation" else F.array().cast(kind))
