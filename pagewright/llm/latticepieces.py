@@ -31,8 +31,8 @@ from .scratch import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BLOCK, CACHED = 100_000, 700_000
-STEP, PLACE = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+BLOCK, CACHED = 100_000, 100_000
+STEP, PLACE = 0xD1342543DE82EF95, 0x9E3779B97F4A7C15
 
 
 @lru_cache(maxsize=4)
@@ -111,19 +111,17 @@ class Sampler:
         norm = np.log(np.exp(weight).sum())
         self.log = np.full(size, -np.inf)
         self.length = np.zeros(size, np.int64)
-        self.bytes: list[bytes] = [b""] * size
+        self.bytes = byte_table(pieces, by_byte, size)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.single = single = np.full(0x110000, -1, np.int32)  # pieces of one character, by code point
         self.unit = unit_pattern([text for _, text, _ in pieces])
         for (i, text, _), w in zip(pieces, weight):
-            self.log[i], self.length[i], self.bytes[i] = w - norm, len(text), text.encode()
+            self.log[i], self.length[i] = w - norm, len(text)
             if len(text) == 1:
                 single[ord(text)] = i
             else:
                 self.automaton.add_word(text, i)
         self.automaton.make_automaton()
-        for b, i in enumerate(by_byte):
-            self.bytes[i] = bytes([b])
         self.byte_log = float(weight.min() - norm) - 2.0
         self.reset()
 
@@ -195,23 +193,23 @@ class Sampler:
         if len(self.units) > CACHED:
             self.reset()
         known = len(self.units)
-        code = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        code = np.fromiter(map(self.units.__getitem__, units), np.int32, len(units))
         if len(self.units) > known:
             self._learn(list(islice(self.units, known, None)))
-        who = np.argsort(code, kind="stable")
+        who = np.argsort(code)
         keys, piece, before = self.keys.all, self.ids.all, self.back.all
         node, counts, drawn = self.last.all[code[who]], np.zeros(len(units), np.int64), []
-        step = 0
+        state = seeds[who]
         while len(who):
-            u = (T.mix(seeds[who] + T.U(step * STEP % (1 << 64))) >> T.U(11)).astype(float) * 2.0**-53
-            edge = np.searchsorted(keys, node + u, "right")
+            state = state * T.U(STEP) + T.U(PLACE)  # a linear congruential step; its high bits are the random number
+            edge = np.searchsorted(keys, node + (state >> T.U(11)).astype(float) * 2.0**-53, "right")
             # Rounding of node + u may reach the next node; the last edge is then meant.
             edge -= keys[np.minimum(edge, len(keys) - 1)] > node + 1
             drawn.append((who, piece[edge]))
             counts[who] += 1
             node = before[edge]
-            on = node >= 0
-            who, node, step = who[on], node[on], step + 1
+            on = np.flatnonzero(node >= 0)
+            who, node, state = who[on], node[on], state[on]
         place = np.cumsum(counts)
         ids = np.empty(int(counts.sum()), np.int64)
         for k, (who, got) in enumerate(drawn):
@@ -275,6 +273,16 @@ def decode(table: list[bytes], ids: list[int]) -> str:
     return b"".join(map(table.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+def byte_table(pieces, by_byte, size) -> list[bytes]:
+    """The bytes of each piece id; control pieces have none."""
+    table = [b""] * size
+    for i, text, _ in pieces:
+        table[i] = text.encode()
+    for b, i in enumerate(by_byte):
+        table[i] = bytes([b])
+    return table
+
+
 def _sampler(shared) -> Sampler:
     key = shared.id if hasattr(shared, "id") else id(shared)
     if _HELD.get("key") != key:
@@ -285,7 +293,7 @@ def _sampler(shared) -> Sampler:
 _HELD: dict = {}
 
 
-def _encoding(shared, names: list[str], text_name: str, out: str):
+def _encoding(shared, names: list[str], text_name: str, out: str, lossless: str | None):
     def kernel(batches):
         sampler = _sampler(shared)
         for whole in batches:
@@ -295,7 +303,10 @@ def _encoding(shared, names: list[str], text_name: str, out: str):
                 ids = sampler.encode(texts, seeds)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
                 column = T.list_array(np.array([len(i) for i in ids]), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], [*names, out])
+                made = {out: column}
+                if lossless:
+                    made[lossless] = pa.array([sampler.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made.values()], [*names, *made])
 
     return kernel
 
@@ -304,20 +315,25 @@ def _seeded(docs: DataFrame, id_col: str, seed: int):
     return docs.withColumn("_seed", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "piece_ids", seed: int = 0, model: str = MODEL) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "piece_ids", seed: int = 0, model: str = MODEL,
+            lossless: str | None = None) -> DataFrame:
     """``docs`` with an array column ``out`` of sampled piece ids.
 
+    With ``lossless``, a boolean column of that name tells whether decoding the
+    pieces gives the text back.
+
     A row's draw depends on ``seed``, its id and its text only: repeated rows are
     segmented alike, null ids share a seed. Null and empty texts have no pieces.
     """
-    if out in docs.columns or "_seed" in docs.columns:
-        raise ValueError(f"docs already has a column {out} or _seed")
+    if {out, lossless, "_seed"} & set(docs.columns):
+        raise ValueError(f"docs already has a column {out}, {lossless} or _seed")
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(vocabulary(model))  # a vocabulary: bounded whatever the corpus
     rows = _seeded(docs, id_col, seed)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` array<int>"
-    return rows.mapInArrow(_encoding(shared, docs.columns, text_col, out), schema)
+    schema += f", `{lossless}` boolean" if lossless else ""
+    return rows.mapInArrow(_encoding(shared, docs.columns, text_col, out, lossless), schema)
 
 
 def decoded(rows: DataFrame, ids_col: str = "piece_ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -329,7 +345,7 @@ def decoded(rows: DataFrame, ids_col: str = "piece_ids", out: str = "decoded", m
     shared = spark.sparkContext.broadcast(vocabulary(model))
 
     def kernel(batches):
-        table = _sampler(shared).bytes
+        table = byte_table(*shared.value)
         for batch in batches:
             column = batch.column(ids_col)
             column = column.fill_null([]) if column.null_count else column
