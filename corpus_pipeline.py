@@ -37,9 +37,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add piece_ids, n_pieces and whether decoding them gives the text back."""
-    both = latticepieces.decoded(latticepieces.encoded(docs, out="piece_ids"), "piece_ids", "_decoded")
-    same = F.coalesce(F.col("text"), F.lit("")) == F.col("_decoded")
-    return both.withColumns({"n_pieces": F.size("piece_ids"), "lossless": same}).drop("_decoded")
+    coded = latticepieces.encoded(docs, out="piece_ids", lossless="lossless")
+    return coded.withColumn("n_pieces", F.size("piece_ids"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("pieces", pieces)]
