@@ -161,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(docs.sparkSession)
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_l_id"), F.col(label_col).cast("int").alias("_label"))
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    # Statistics first: the join moves D numbers a row and no text.
-    rows = rows.mapInArrow(_describing, f"_id {docs.schema[id_col].dataType.simpleString()}, x array<float>")
+    # Statistics first: the join moves D numbers a row and no text. Stored, so that no task holds two Python workers.
+    rows = stored(rows.mapInArrow(_describing, f"_id {docs.schema[id_col].dataType.simpleString()}, x array<float>"), "statistics")
     joined = rows.join(marks, rows["_id"] == marks["_l_id"]).select("x", "_label")
     sums = np.zeros((2, 1 + D + D * D))
     for k, i, v in joined.mapInArrow(_sums, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
