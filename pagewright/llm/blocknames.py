@@ -37,9 +37,9 @@ def ascii_lower(text):
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _numbered(distinct: DataFrame, order: list[str], name: str, label: str) -> DataFrame:
+def _numbered(distinct: DataFrame, order: list[str], name: str, label: str, few: bool = False) -> DataFrame:
     """Sort distinct rows and give each an integer that grows with its place; stored, so it is fixed."""
-    return stored(distinct.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), label)
+    return stored(distinct.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), label, few)
 
 
 def _named_pieces(pieces: DataFrame) -> DataFrame:
@@ -93,8 +93,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(NOTHING)).alias("r"),
             F.max("copies").alias("copies"), F.max(F.expr("(n + 1) div 2")).cast("int").alias("n"),
         )
-        names = _numbered(pairs.select("l", "r").distinct(), ["l", "r"], "name", "pairs")
-        state = stored(pairs.join(names, ["l", "r"]).select(*KEY, "pos", "name", "copies", "n"), "level")
+        names = _numbered(pairs.select("l", "r").distinct(), ["l", "r"], "name", "pairs", few=True)
+        state = stored(pairs.join(names, ["l", "r"]).select(*KEY, "pos", "name", "copies", "n"), "level", few=True)
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)

@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     is stored, so an executor lost costs a task.
     """
     now = stored(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", few=True)
     seen = _mark(now)
     while seen[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        now = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars", few=True)
         mark = _mark(now)
         if mark == seen:
             break

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from . import textkernels as T
@@ -195,26 +195,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ).withColumn("node", F.monotonically_increasing_id()), "texts")
 
     keys = texts.where("n > 0").select("node", "n", F.explode("bands").alias("key"))
-    shared = stored(keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key"), "buckets")
-    members = stored(keys.join(shared, "key"), "members")
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets", few=True)
+    # A member's place in its bucket of m, from its hash: about one member a place, without sorting the bucket.
+    spot = F.xxhash64("node").bitwiseAND((1 << 52) - 1) / float(1 << 52)
+    members = stored(keys.join(shared, "key").select("key", "node", "n", (F.floor(spot * F.col("m")) + 1).alias("place")), "members")
 
     candidates = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "c1", "c2", F.col("first._id").alias("_id"))
-    candidates = stored(candidates, "candidates")
+    candidates = stored(candidates, "candidates", few=True)
     wanted = T.collect_bitmap(candidates.select(F.col("c1").bitwiseXOR(F.col("_id")).alias("k")), "k", bits)
     sets = stored(
         slim.mapInArrow(_listing(words, by_count, wanted), "_id bigint, c1 bigint, c2 bigint, shingles array<bigint>, marks array<bigint>")
         .join(candidates, ["_id", "c1", "c2"]).select("node", "shingles", "marks").dropDuplicates(["node"]), "sets")
 
-    able = sets.select("node", "marks").join(stored(_alone(sets), "alone"), "node", "left").select("node", "marks", F.coalesce("alone", F.lit(0)).alias("alone"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    able = sets.select("node", "marks").join(stored(_alone(sets), "alone", few=True), "node", "left").select("node", "marks", F.coalesce("alone", F.lit(0)).alias("alone"))
     members = stored(
         members.join(able, "node").withColumn("f", F.col("n") - F.col("alone")).where(F.col("f") >= threshold * F.col("n") - 1e-9)
-        .select("key", "node", "n", "f", "marks").withColumn("place", place), "able")
+        .select("key", "node", "n", "f", "marks", "place"), "able")
 
     roots, now, low, high = None, members.withColumn("root", F.col("node")), 0, 1
     while True:
         split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("place").alias("most"))
-        split = stored(split.where(F.col("x") < F.col("y")).where(F.col("most") > low).select("key"), "split")
+        split = stored(split.where(F.col("x") < F.col("y")).where(F.col("most") > low).select("key"), "split", few=True)
         if split.isEmpty():
             break
         active = now.join(split, "key").where(F.col("place") > low)
@@ -223,22 +224,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.col("place").alias("c_place"), F.col("marks").alias("c_marks"))
         most = F.least("f", "c_f", F.col("n") - _lacking("marks", "c_marks"), F.col("c_n") - _lacking("c_marks", "marks"))
         pairs = active.join(centres, "key").where(
-            (F.col("root") != F.col("c_root")) & (F.col("place") > F.col("c_place"))
+            (F.col("root") != F.col("c_root")) & (F.struct("place", "node") > F.struct("c_place", "c"))
             & (most >= threshold * (F.col("n") + F.col("c_n") - most) - 1e-9)
         ).select(F.greatest("node", "c").alias("u"), F.least("node", "c").alias("v")).distinct()
-        links = stored(_linked(pairs, sets, threshold), "links")
+        links = stored(_linked(pairs, sets, threshold), "links", few=True)
         low, high = high, high * growth
         if links.isEmpty():
             continue
         edges = links if roots is None else links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = stored(components(edges), "roots")
-        now = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+        roots = stored(components(edges), "roots", few=True)
+        now = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled", few=True)
     classed = texts.select("node", "first", "copies", "c1", "c2", F.col("n").alias("t_n"))
     if roots is not None:
         classed = classed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     else:
         classed = classed.withColumn("root", F.col("node"))
-    heads = stored(classed.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size")), "heads")
+    heads = stored(classed.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size")), "heads", few=True)
     of_text = stored(classed.join(heads, "root").select("c1", "c2", F.col("t_n").alias("n"), "head", "class_size"), "classes")
     number = F.when(F.col("head._id") != LAST, F.col("head._id")).cast(kind)
     return rows.select("_id", "_th", "_row", "c1", "c2", "n").join(of_text, ["c1", "c2", "n"]).select(

@@ -46,10 +46,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def stored(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    ``few`` writes an eighth of the shuffle partitions, and a file for each core
+    at least, for tables of ids that rounds write again and again. Their rows are
+    a small part of the texts', so the tasks stay smaller than those of a text
+    stage; many small files cost more than they hold, and on local file systems
+    a process each to set permissions.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if few:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, partitions))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
