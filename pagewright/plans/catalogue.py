@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagewright.functions import geometry as G, strings as S
 from pagewright.operators import graph, items, layout, pages as P
@@ -44,12 +44,18 @@ def page_words(spark, d):
     return layout.words(glyphs(spark, d)).select("doc_id", "line_no", "word_ix", "text", F.round("x0", 2).alias("x0"), F.round("x1", 2).alias("x1"))
 
 
+def _numbered_lines(lines):
+    """Lines of pages as lines of documents: line_ix counts through the document, baselines are those on the page."""
+    order = Window.partitionBy("doc_id").orderBy("page_ix", "line_ix")
+    return lines.select("doc_id", (F.row_number().over(order) - 1).alias("line_ix"), "text", F.round("baseline", 2).alias("baseline"))
+
+
 def lines_from_glyphs(spark, d):
-    return layout.lines(glyphs(spark, d).where("col < 30")).select("doc_id", "line_ix", "text", F.round("baseline", 2).alias("baseline"))
+    return _numbered_lines(layout.lines(glyphs(spark, d)))
 
 
 def lines_by_gap(spark, d):
-    return layout.lines_by_gap(glyphs(spark, d).where("col < 30")).select("doc_id", "line_ix", "text", F.round("baseline", 2).alias("baseline"))
+    return _numbered_lines(layout.lines_by_gap(glyphs(spark, d)))
 
 
 def paragraphs(spark, d):
@@ -235,8 +241,8 @@ def skip_reasons(spark, d):
 
 
 def hit_test(spark, d):
-    docs = glyphs(spark, d).select("doc_id", "page_ix").distinct()
-    areas = docs.select("doc_id", "page_ix", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("p", "x0", "y0", "x1", "y1"), a)]) for a in AREAS])).alias("a")).select("doc_id", "page_ix", "a.x0", "a.y0", "a.x1", "a.y1")
+    docs = table(spark, d, "documents").select("doc_id").distinct()
+    areas = docs.select("doc_id", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("p", "x0", "y0", "x1", "y1"), a)]) for a in AREAS])).alias("a")).select("doc_id", F.col("a.p").alias("page_ix"), "a.x0", "a.y0", "a.x1", "a.y1")
     return layout.hit_glyphs(glyphs(spark, d), areas).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
 
 

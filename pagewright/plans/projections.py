@@ -25,16 +25,19 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line_ix", "text"))
 
 
-def glyphs(spark: SparkSession, sf_dir: str, lines: int = 20, width: int = 60) -> DataFrame:
-    """(doc_id, page_ix, line_no, col, text, x0, y0, x1, y1, baseline, size): the top of each document in fixed pitch.
+def glyphs(spark: SparkSession, sf_dir: str, per_page: int = 45) -> DataFrame:
+    """(doc_id, page_ix, line_no, col, text, x0, y0, x1, y1, baseline, size): each document in fixed pitch.
 
-    A page shows ``lines`` lines of ``width`` characters, as a typewriter would.
+    Every character of every line is laid out, ``per_page`` lines a page; ``line_no``
+    counts through the document. Lines are dealt by page before they become
+    characters, so operators on pages shuffle text and not characters.
     """
-    shown = document_lines(spark, sf_dir).where(F.col("line_ix") < lines).select(
-        "doc_id", "line_ix", F.posexplode(F.split(F.substring("text", 1, width), "")).alias("col", "text")).where("text <> ''")
-    baseline = F.lit(TOP) - LEADING * F.col("line_ix")
+    paged = document_lines(spark, sf_dir).withColumn("page_ix", F.floor(F.col("line_ix") / per_page).cast("int")).select(
+        "doc_id", "page_ix", "line_ix", "text").repartition("doc_id", "page_ix")
+    shown = paged.select("doc_id", "page_ix", "line_ix", F.posexplode(F.split("text", "")).alias("col", "text")).where("text <> ''")
+    baseline = F.lit(TOP) - LEADING * (F.col("line_ix") % per_page)
     return shown.select(
-        "doc_id", F.lit(0).alias("page_ix"), F.col("line_ix").alias("line_no"), "col", "text",
+        "doc_id", "page_ix", F.col("line_ix").alias("line_no"), "col", "text",
         (LEFT + ADVANCE * F.col("col")).alias("x0"), (baseline - DEPTH * SIZE).alias("y0"),
         (LEFT + ADVANCE * (F.col("col") + 1)).alias("x1"), (baseline + RISE * SIZE).alias("y1"),
         baseline.alias("baseline"), F.lit(SIZE).alias("size"))
