@@ -370,18 +370,18 @@ def preset_files(spark, d):
     from pagewright.sources import batch, documents as docs_io
 
     steps = [{"op": "reverse"}, {"op": "delete-pages", "pages": "last"}, {"op": "stamp-text", "text": "{page}/{pages}"}, {"op": "split", "every": 3}]
-    named = conversation_pages(spark, d).select(F.col("doc_id").cast("string").alias("name"), "page_ix", F.concat(F.lit("turn"), F.col("page_ix").cast("string")).alias("text"))
+    named = conversation_pages(spark, d).select(F.col("doc_id").cast("string").alias("name"), "page_ix", "text")
     made = batch.run(presets.Preset("files", steps), docs_io.write(named))
-    back = docs_io.pages(made.select(F.col("out_name").alias("name"), "data"))
+    back = docs_io.stamped_pages(made.select(F.col("out_name").alias("name"), "data"), 12.0)
     part = F.coalesce(F.try_element_at(F.split(F.regexp_replace("name", r"\.pdf$", ""), "-"), F.lit(2)).cast("int"), F.lit(1)) - 1
-    return back.select(F.regexp_extract("name", r"^[0-9]+", 0).cast("bigint").alias("doc_id"), part.alias("part"), "page_ix", F.regexp_extract("text", r"turn[0-9]+", 0).alias("turn"), F.regexp_extract("text", r"[0-9]+/[0-9]+", 0).alias("stamp"))
+    return back.select(F.regexp_extract("name", r"^[0-9]+", 0).cast("bigint").alias("doc_id"), part.alias("part"), "page_ix", F.col("text").alias("turn"), "stamp")
 
 
 def object_types(spark, d):
     """Objects of written files by type: what the writer makes of a document of n pages."""
     from pagewright.sources import documents as docs_io
 
-    named = conversation_pages(spark, d).select(F.col("doc_id").cast("string").alias("name"), "page_ix", F.concat(F.lit("turn"), F.col("page_ix").cast("string")).alias("text"))
+    named = conversation_pages(spark, d).select(F.col("doc_id").cast("string").alias("name"), "page_ix", "text")
     found = docs_io.objects(docs_io.write(named))
     return found.groupBy(F.col("name").cast("bigint").alias("doc_id"), "type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -32,3 +32,30 @@ def test_lines_of_every_page(spark, long_docs, query):
         kept = [(" ".join(line.split()), 720.0 - 14 * (n % 45)) for n, line in enumerate(t.split("\n")) if line.strip()]
         want += [(d, k, line, base) for k, (line, base) in enumerate(kept)]
     assert sorted(tuple(r) for r in getattr(catalogue, query)(spark, folder).collect()) == want
+
+
+def test_whole_texts_come_back_from_files(spark, long_docs):
+    from pagewright.sources import documents
+
+    folder, texts = long_docs
+    got = {r.doc_id: (r.n_pages, r.same) for r in catalogue.codec_roundtrip(spark, folder).collect()}
+    assert got == {1: (3, True), 2: (1, True), 3: (1, True), 4: (1, True)}
+    assert documents._pieces("a" * 250) == ["a" * 100, "a" * 100, "a" * 50] and "".join(documents._pieces(texts[2])) == texts[2]
+
+
+def test_a_lost_character_is_noticed(monkeypatch):
+    from pagewright.sources import documents
+
+    assert documents._comes_back([["one 中 two", "", "x" * 100]])
+    write = documents._written
+    monkeypatch.setattr(documents, "_written", lambda rows, options: write([{"text": r["text"].replace("中", "?")} for r in rows], options))
+    assert not documents._comes_back([["one 中 two", "", "x" * 100]])
+
+
+def test_files_hold_the_text_of_turns(spark, tmp_path):
+    turns = [(1, k, f"Turn {k} says 3/4\n" + "long " * 50 + "\n" * 21 + "é 中 😀") for k in range(5)]
+    spark.createDataFrame([(c, k, "user", t) for c, k, t in turns], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    shown = {k: "\n".join(" ".join(line.split()) for line in t.split("\n") if line) for _, k, t in turns}
+    got = sorted((r.part, r.page_ix, r.turn, r.stamp) for r in catalogue.preset_files(spark, str(tmp_path)).collect())
+    assert got == [(ix // 3, ix % 3, shown[4 - ix], f"{ix + 1}/4") for ix in range(4)]
+    assert {r.type: r.n for r in catalogue.object_types(spark, str(tmp_path)).collect()} == {"dictionary": 5 + 3 + 2, "stream": 5 + 1}
