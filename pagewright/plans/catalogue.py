@@ -66,8 +66,8 @@ def paragraphs(spark, d):
 
 
 def fold_text(spark, d):
-    sample = F.concat(F.lit("“"), F.substring("text", 1, 200), F.lit("” – ﬁn"))
-    return table(spark, d, "documents").select("doc_id", S.fold(sample, ignore_case=False).alias("folded"))
+    framed = F.concat(F.lit("“"), "text", F.lit("” – ﬁn"))
+    return table(spark, d, "documents").select("doc_id", S.fold(framed, ignore_case=False).alias("folded"))
 
 
 def wrap_text(spark, d):
@@ -76,7 +76,7 @@ def wrap_text(spark, d):
 
 def measure_text(spark, d):
     lines = document_lines(spark, d)
-    return lines.select("doc_id", "line_ix", F.round(S.measure(F.substring("text", 1, 40), 12.0, {"i": 222, "l": 222, "m": 833, "w": 722, " ": 278}, 556), 3).alias("width"))
+    return lines.select("doc_id", "line_ix", F.round(S.measure(F.col("text"), 12.0, {"i": 222, "l": 222, "m": 833, "w": 722, " ": 278}, 556), 3).alias("width"))
 
 
 def word_diff(spark, d):
@@ -165,7 +165,7 @@ def indices_to_spec(spark, d):
 
 
 def shift_bookmarks(spark, d):
-    return P.shift_bookmarks(_pages(spark, d).select("doc_id", "page_ix", F.substring("text", 1, 20).alias("title")), 2, 3)
+    return P.shift_bookmarks(_pages(spark, d).select("doc_id", "page_ix", F.col("text").alias("title")), 2, 3)
 
 
 # ---- graph and duplicates --------------------------------------------------------------------

@@ -59,3 +59,16 @@ def test_files_hold_the_text_of_turns(spark, tmp_path):
     got = sorted((r.part, r.page_ix, r.turn, r.stamp) for r in catalogue.preset_files(spark, str(tmp_path)).collect())
     assert got == [(ix // 3, ix % 3, shown[4 - ix], f"{ix + 1}/4") for ix in range(4)]
     assert {r.type: r.n for r in catalogue.object_types(spark, str(tmp_path)).collect()} == {"dictionary": 5 + 3 + 2, "stream": 5 + 1}
+
+
+def test_whole_texts_are_folded_measured_and_titled(spark, long_docs, tmp_path):
+    folder, texts = long_docs
+    tail = "a" * 300 + " “late”"
+    spark.createDataFrame([(1, tail)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.fold_text(spark, str(tmp_path)).first().folded == '"' + "a" * 300 + ' "late"" - fin'
+    wide = {"i": 222, "l": 222, "m": 833, "w": 722, " ": 278}
+    want = {(d, n): sum(wide.get(c, 556) for c in line) * 12 / 1000 for d, t in texts.items() for n, line in enumerate(t.split("\n"))}
+    got = {(r.doc_id, r.line_ix): r.width for r in catalogue.measure_text(spark, folder).collect()}
+    assert got == pytest.approx(want, abs=1e-3)
+    spark.createDataFrame([(1, k, "user", f"{k} " + tail) for k in range(4)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted((r.page_ix, r.title) for r in catalogue.shift_bookmarks(spark, str(tmp_path)).collect()) == [(p, f"{k} " + tail) for p, k in ((0, 0), (1, 1), (5, 2), (6, 3))]
