@@ -10,7 +10,7 @@ from pagewright.functions import geometry as G, strings as S
 from pagewright.operators import graph, items, layout, pages as P
 from pagewright.plans import presets
 from pagewright.plans.projections import (
-    conversation_pages, document_lines, event_annotations, glyphs, placed_images, references, table, web_pages)
+    conversation_pages, document_lines, event_annotations, glyphs, line_key, placed_images, references, table, web_pages)
 
 TERM, WORD, SECRET = "the", "the", "License"
 AREAS = [(0, 100.0, 600.0, 220.0, 660.0), (0, 300.0, 690.0, 420.0, 705.0)]
@@ -188,7 +188,9 @@ def dedupe_fixpoint(spark, d):
 
 
 def reachable(spark, d):
-    roots = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("node"))
+    """From all orders and line items along the foreign keys."""
+    orders = table(spark, d, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("node"))
+    roots = orders.unionByName(table(spark, d, "lineitem").select(line_key().alias("node")))
     return graph.reachable(references(spark, d), roots)
 
 

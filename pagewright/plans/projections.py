@@ -62,11 +62,17 @@ def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+def line_key():
+    """The name of a line item as an object."""
+    return F.concat(F.lit("lineitem:"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+
+
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): foreign keys as references between named objects."""
     t = lambda n: table(spark, sf_dir, n)
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = [
+        *[t("lineitem").select(line_key().alias("src"), key(p, c).alias("dst")) for p, c in (("order:", "l_orderkey"), ("part:", "l_partkey"), ("supplier:", "l_suppkey"))],
         t("orders").select(key("order:", "o_orderkey").alias("src"), key("customer:", "o_custkey").alias("dst")),
         t("customer").select(key("customer:", "c_custkey").alias("src"), key("nation:", "c_nationkey").alias("dst")),
         t("supplier").select(key("supplier:", "s_suppkey").alias("src"), key("nation:", "s_nationkey").alias("dst")),

@@ -72,3 +72,22 @@ def test_whole_texts_are_folded_measured_and_titled(spark, long_docs, tmp_path):
     assert got == pytest.approx(want, abs=1e-3)
     spark.createDataFrame([(1, k, "user", f"{k} " + tail) for k in range(4)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert sorted((r.page_ix, r.title) for r in catalogue.shift_bookmarks(spark, str(tmp_path)).collect()) == [(p, f"{k} " + tail) for p, k in ((0, 0), (1, 1), (5, 2), (6, 3))]
+
+
+def test_all_orders_and_line_items_lead_on(spark, sf_dir):
+    rows = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()
+    edges: dict[str, set[str]] = {}
+    for r in rows("lineitem"):
+        edges.setdefault(f"lineitem:{r.l_orderkey}/{r.l_linenumber}", set()).update((f"order:{r.l_orderkey}", f"part:{r.l_partkey}", f"supplier:{r.l_suppkey}"))
+    for name, kind, key, to, far in (("orders", "order", "o_orderkey", "customer", "o_custkey"), ("customer", "customer", "c_custkey", "nation", "c_nationkey"),
+                                     ("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"), ("nation", "nation", "n_nationkey", "region", "n_regionkey")):
+        for r in rows(name):
+            edges.setdefault(f"{kind}:{r[key]}", set()).add(f"{to}:{r[far]}")
+    found = {n: 0 for n in edges if n.startswith("lineitem:")} | {f"order:{r.o_orderkey}": 0 for r in rows("orders")}
+    frontier, depth = set(found), 0
+    while frontier:
+        depth += 1
+        frontier = {t for n in frontier for t in edges.get(n, ())} - set(found)
+        found |= dict.fromkeys(frontier, depth)
+    assert {r.node: r.depth for r in catalogue.reachable(spark, sf_dir).collect()} == found
+    assert any(n.startswith("part:") for n in found)
