@@ -19,6 +19,7 @@ from __future__ import annotations
 import random
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .scratch import ship
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
-REACH = 24  # characters of context around a digit or at-sign
+REACH = 24  # characters before a segment in which a cue counts
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -81,11 +82,12 @@ def base_spans(text: str) -> list[S.Span]:
 # ---- the model -------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]")
-_SEED = re.compile(r"[0-9]{2}|@|[\[( ]at[\]) ]", re.I | re.A)
+_SEED = re.compile(r"[0-9]+|@|[\[( ]at[\]) ]", re.I | re.A)
 _IP4 = re.compile(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}|[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}")
 _PHONE_SHAPE = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}")
 _DATE = re.compile(r"[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{2,4}")
 _MAIL_SHAPE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]* ?(?:@|\[at\]|\(at\)| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]+)+", re.I | re.A)
+_AT = re.compile(r"@|[\[( ]at[\]) ]", re.I | re.A)
 _MAIL_END = re.compile(r"(?:\.|dot[\])]? ?)[A-Za-z]{2,6}$", re.I | re.A)
 _CUE = {
     "email": re.compile(r"mail|contact|write", re.I), "ip": re.compile(r"\bip\b|address|host|server", re.I),
@@ -131,7 +133,7 @@ def _features(text: str, start: int, end: int, kind: str) -> np.ndarray | None:
     x[10] = any(c.isalpha() for c in piece)
     x[11] = bool(_DATE.search(piece))
     x[12] = piece.startswith("(") or piece.startswith("+")
-    x[13] = piece.count(".") / 3
+    x[13] = (_AT.split(piece, maxsplit=1)[-1] if kind == "email" else piece).count(".") / 3  # of an address, those after the at-sign
     x[14] = bool(_CUE[kind].search(text[max(0, start - REACH) : start]))
     x[15] = "  " in piece
     return x
@@ -141,6 +143,12 @@ def _lattice(text: str, low: int, high: int):
     """Token bounds in [low, high) and the candidate segments (i, j, kind number, features) between them."""
     bounds = [m.start() for m in _TOKEN.finditer(text, low, high)] + [high]
     blank = [text[b].isspace() for b in bounds[:-1]]
+    digits, letters, ats = [0], [0], [0]  # up to each bound; no segment of a kind lacks what the kind needs
+    for a, b in zip(bounds, bounds[1:]):
+        token = text[a:b]
+        digits.append(digits[-1] + (b - a if "0" <= token[0] <= "9" else 0))
+        letters.append(letters[-1] + token[0].isalpha())
+        ats.append(ats[-1] + (token == "@" or token.lower() == "at"))
     found = []
     for i in range(len(bounds) - 1):
         first = text[bounds[i]]
@@ -149,11 +157,15 @@ def _lattice(text: str, low: int, high: int):
         for j in range(i + 1, min(i + LONGEST, len(bounds) - 1) + 1):
             if blank[j - 1] or not text[bounds[j] - 1].isalnum():
                 continue
+            d, numeric = digits[j] - digits[i], letters[j] == letters[i]
+            may = (ats[j] > ats[i], numeric and 4 <= d <= 12, numeric and 12 <= d <= 19, numeric and 7 <= d <= 19)
             for k, kind in enumerate(KINDS):
-                x = _features(text, bounds[i], bounds[j], kind)
+                x = _features(text, bounds[i], bounds[j], kind) if may[k] else None
                 if x is not None:
                     found.append((i, j, k, x))
-    return bounds, found
+    whole = [f[:2] for f in found if KINDS[f[2]] == "email" and not any(blank[f[0] : f[1]])]
+    part = {w for w in whole if any(v != w and v[0] <= w[0] and w[1] <= v[1] for v in whole)}  # of a longer address without spaces
+    return bounds, [f for f in found if KINDS[f[2]] != "email" or f[:2] not in part]
 
 
 def _scores(found, weights: np.ndarray) -> np.ndarray:
@@ -268,16 +280,21 @@ def trained(examples: int = 400, epochs: int = 40, seed: int = 7, rate: float =
 
 
 def _regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at-signs, widened to white space, merged; together at most the text."""
+    """Stretches of ``LONGEST`` tokens on both sides of digits and at-signs, merged: every segment that holds one lies in a stretch."""
     out: list[list[int]] = []
-    at = 0
-    while hit := _SEED.search(text, at):
-        low, high = max(0, hit.start() - REACH), min(len(text), hit.end() + REACH)
+    n, turned = len(text), ""
+    for hit in _SEED.finditer(text):
+        low, high = hit.span()
+        for token in islice(_TOKEN.finditer(text, high), LONGEST):
+            high = token.end()
+        if not out or low > out[-1][1]:
+            turned = turned or text[::-1]
+            for token in islice(_TOKEN.finditer(turned, n - low), LONGEST):
+                low = n - token.end()
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high)
         else:
             out.append([low, high])
-        at = hit.end()
     return [(a, b) for a, b in out]
 
 

@@ -91,3 +91,12 @@ def test_all_orders_and_line_items_lead_on(spark, sf_dir):
         found |= dict.fromkeys(frontier, depth)
     assert {r.node: r.depth for r in catalogue.reachable(spark, sf_dir).collect()} == found
     assert any(n.startswith("part:") for n in found)
+
+
+@pytest.mark.parametrize("kind,piece", [
+    ("ip", "8[.]8[.]8[.]8"), ("ip", "1 . 1 . 1 . 1"), ("email", "theresa.von.habsburg-lothringen(at)example(dot)org"), ("email", "jane(at)mail.research(dot)example(dot)org")])
+def test_the_model_sees_whole_segments(kind, piece):
+    from pagewright.llm import semicrf
+
+    text = f"one two {piece} three four"
+    assert [(text[a:b], k) for a, b, k in semicrf.found_spans(text, semicrf.trained(), [])] == [(piece, kind)]
