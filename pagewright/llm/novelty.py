@@ -29,7 +29,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}+")
 _SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|credential|bearer|private|signature", re.I | re.A)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+")
-NEAR, AROUND = 48, 512
+NEAR, AROUND, PIECE = 48, 512, 64
 # Names that code uses, to prime the compressor.
 IDENTIFIERS = """
 access account action address admin algorithm application argument array assert async attribute auth authorization await
@@ -69,12 +69,21 @@ class Meter:
         self.level = level
 
     def added(self, text: str, start: int, end: int) -> int:
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        """Bytes that a string adds; its copies nearby are blanked, and a long one is measured in pieces of at most ``PIECE``."""
+        run = text[start:end]
+        n = len(run)
+        before = text[max(0, start - AROUND - n) : start].replace(run, " ")[-AROUND:]
+        after = text[end : end + AROUND + n].replace(run, " ")[:AROUND]
+        pieces = -(-n // PIECE)
+        return sum(self._piece((before + run[max(0, a - AROUND) : a])[-AROUND:], run[a:b], (run[b : b + AROUND] + after)[:AROUND])
+                   for a, b in ((n * k // pieces, n * (k + 1) // pieces) for k in range(pieces)))
+
+    def _piece(self, before: str, piece: str, after: str) -> int:
         primer = (IDENTIFIERS + before + after).encode()
         words = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         squeeze = zstandard.ZstdCompressor(level=self.level, dict_data=words, write_content_size=False, write_checksum=False)
         tail = before[-NEAR:].encode()
-        return len(squeeze.compress(tail + text[start:end].encode())) - len(squeeze.compress(tail))
+        return len(squeeze.compress(tail + piece.encode())) - len(squeeze.compress(tail))
 
 
 def novel_spans(text: str, base: list[S.Span], meter: Meter, ratio: float = 0.7) -> list[S.Span]:
@@ -87,7 +96,7 @@ def novel_spans(text: str, base: list[S.Span], meter: Meter, ratio: float = 0.7)
         run = hit[0].rstrip(".=-")
         end = start + len(run)
         kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run))
-        if len(run) < 16 or sum(kinds) < 2 or not kinds[0] or S.overlaps(start, end, base):
+        if len(run) < 16 or sum(kinds) < 2 or S.overlaps(start, end, base):
             continue
         if _SENSITIVE.search(text, max(0, start - NEAR), start) and meter.added(text, start, end) >= ratio * len(run):
             added.append((start, end, "novel"))

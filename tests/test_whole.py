@@ -100,3 +100,23 @@ def test_the_model_sees_whole_segments(kind, piece):
 
     text = f"one two {piece} three four"
     assert [(text[a:b], k) for a, b, k in semicrf.found_spans(text, semicrf.trained(), [])] == [(piece, kind)]
+
+
+def test_long_repeated_and_digit_free_keys():
+    import random
+
+    from pagewright.llm import novelty
+
+    rng, meter = random.Random(4), novelty.Meter()
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    found = lambda text: [text[a:b] for a, b, _ in novelty.novel_spans(text, [], meter)]
+    upper, letters = "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n in (96, 128, 256):
+        k = key(upper, n)
+        assert found(f"the auth key {k} ends") == [k]
+    k = key(letters + "0123456789", 40)
+    assert found(f"auth credential {k} then bearer {k} end") == [k, k]
+    assert found(f"auth credential {k} " + "w " * 230 + f"bearer {k} end") == [k, k]  # the window cuts a copy
+    k = key(letters, 40)
+    assert found(f"bearer {k} end") == [k]
+    assert found("the auth key is getDefaultConfigurationValue and Authentication_Manager_Configuration and " + "Ab1" * 40) == []
