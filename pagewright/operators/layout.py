@@ -15,12 +15,13 @@ NEW_LINE, NEW_PARAGRAPH = 0.45, 1.9  # parts of the type size
 LINE = "doc_id bigint, page_ix int, line_ix int, text string, x0 double, y0 double, x1 double, y1 double, baseline double, size double"
 
 
-def _lines_of(rows: list[dict]) -> list[dict]:
+def _lines_of(rows: list[dict], spots: bool = False) -> list[dict]:
     """Lines of one page: glyphs by direction, then down the page, then along the line.
 
     A line takes the next glyph while its baseline is within 0.45 of the larger
     size of the mean baseline so far; a gap wider than half a space, or than
-    0.12 of the size, becomes a space.
+    0.12 of the size, becomes a space. With ``spots`` a line also has the glyph of
+    each character of its text, None for a space that a gap stands for.
     """
     def turned(g):
         x, y, dy = g["x0"], g["baseline"], g.get("dy")
@@ -45,20 +46,25 @@ def _lines_of(rows: list[dict]) -> list[dict]:
     out = []
     for line in groups:
         line.sort(key=lambda m: m[2])
-        text, end = "", None
+        text, end, at = "", None, []
         for g, _, along, _, turn in line:
             span = (g["x1"] - g["x0"]) * abs(math.cos(turn)) + (g["y1"] - g["y0"]) * abs(math.sin(turn))
             space = g.get("space_width") or 0.0
             if end is not None and along - end > max(0.5 * space, 0.12 * g["size"]) and not text.endswith(" ") and g["text"] != " ":
                 text += " "
+                at.append(None)
             if not (g["text"].isspace() and text.endswith(" ")):
                 text += g["text"]
+                at += [g] * len(g["text"])
             end = along + span
         sizes = sorted(m[0]["size"] for m in line)
         boxes = [m[0] for m in line]
         out.append({
             "text": text.strip(), "x0": min(b["x0"] for b in boxes), "y0": min(b["y0"] for b in boxes), "x1": max(b["x1"] for b in boxes),
             "y1": max(b["y1"] for b in boxes), "baseline": line[0][0]["baseline"], "size": sizes[len(sizes) // 2]})
+        if spots:
+            start = len(text) - len(text.lstrip())
+            out[-1]["spots"] = at[start : start + len(out[-1]["text"])]
     return [o for o in out if o["text"]]
 
 
