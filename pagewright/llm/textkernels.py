@@ -95,7 +95,15 @@ def _hash_span(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np
     total[0] = 0
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U) * U(0xC2B2AE3D27D4EB4F)), starts, ends
+    h = mix(h + (ends - starts).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    for k in np.flatnonzero(ends - starts >= CHUNK).tolist():
+        h[k] = _long_hash(data[starts[k] : ends[k]])
+    return h, starts, ends
+
+
+def _long_hash(word: np.ndarray) -> np.uint64:
+    """Hash of a word of ``CHUNK`` bytes or more, the same in a text of any length."""
+    return np.frombuffer(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), U)[0]
 
 
 def word_hashes(column: pa.Array, inside: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +134,7 @@ def word_hashes(column: pa.Array, inside: np.ndarray, lower: bool = False) -> tu
                 while end < len(data) and inside[data[end]]:
                     tail = np.flatnonzero(~inside[data[end : end + CHUNK]])
                     end = end + int(tail[0]) if len(tail) else min(end + CHUNK, len(data))
-                whole = hashlib.blake2b(data[here:end].tobytes(), digest_size=8).digest()
-                parts.append(np.frombuffer(whole, U))
+                parts.append(np.array([_long_hash(data[here:end])], U))
                 here = end
                 continue
         parts.append(_hash_span(data[here:end], np.array([0, end - here]), inside)[0])
@@ -193,7 +200,7 @@ def list_array(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
 
 
 class Bitmap:
-    """A set of 64-bit hashes as a bit array of fixed size; it may say yes too often, never no wrongly."""
+    """A set of 64-bit hashes as a bit array; it may say yes too often, never no wrongly."""
 
     def __init__(self, bits: int, words: np.ndarray):
         self.bits, self.words = bits, words
@@ -203,10 +210,25 @@ class Bitmap:
         return (self.words[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) > 0
 
 
-def collect_bitmap(df, column: str, bits: int) -> Bitmap:
-    """Bits of the hashes in ``column``, or-ed on the executors; the driver gets 2^bits / 8 bytes at most."""
+#: Bits to each member, and the least and greatest log2 of the size, of a bit array that is sized by its members.
+ROOM, LEAST_BITS, MOST_BITS = 16, 10, 26
+
+
+def room_for(n: int) -> int:
+    """log2 of the bits for ``n`` hashes: ``ROOM`` bits each, up to 2^``MOST_BITS`` bits (8 MB)."""
+    return min(max(int(np.ceil(np.log2(max(n, 1) * ROOM))), LEAST_BITS), MOST_BITS)
+
+
+def collect_bitmap(df, column: str, bits: int | None = None) -> Bitmap:
+    """Bits of the hashes in ``column``, or-ed on the executors; the driver gets 2^bits / 8 bytes at most.
+
+    Without ``bits`` the array is sized by the number of rows. Beyond
+    2^``MOST_BITS`` bits it stays as it is and says yes more often, which costs
+    time and never a result.
+    """
     from pyspark.sql import functions as F
 
+    bits = room_for(df.count()) if bits is None else bits
     slot = F.col(column).bitwiseAND((1 << bits) - 1)
     rows = df.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
     table = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
