@@ -10,21 +10,24 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names; one process on one machine may do without and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if "root" not in _OWN:
         _OWN["root"] = "file://" + tempfile.mkdtemp(prefix="pagewright-")
     return _OWN["root"]
@@ -46,6 +49,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _few(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a table of ids, in few partitions, dealt out anew: what made it keeps all its tasks."""
+    return df.repartition(_few(df.sparkSession))
+
+
 def stored(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -58,12 +70,26 @@ def stored(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     if few:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, partitions))
+        df = df.coalesce(_few(spark))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _field(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Each row of ``docs`` as one struct ``row`` beside the columns ``keys``, so that no name in it can clash."""
+    return docs.select(F.struct(*[F.col(_field(c)) for c in docs.columns]).alias("row"), *[key.alias(name) for name, key in keys.items()])
+
+
+def unpacked(rows: DataFrame, **more: Column) -> DataFrame:
+    """The columns of ``row``, then ``more``, which take the place of columns of the same name."""
+    names = [f.name for f in rows.schema["row"].dataType.fields]
+    return rows.select(*[F.col("row").getField(n).alias(n) for n in names if n not in more], *[c.alias(n) for n, c in more.items()])
+
+
 #: Rows of an Arrow batch; texts can be long, and a worker holds a batch or two.
 BATCH_ROWS = "1000"
 
