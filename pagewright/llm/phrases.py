@@ -6,13 +6,21 @@ starts in a document with a smaller id.
 1. *Recurring passages.* The least k-gram hash of a window is its anchor;
    consecutive windows with one anchor form a segment. Equal windows have equal
    anchors, so a window can only recur where its anchor does. Segments are
-   counted by (anchor, 128-bit content hash): a segment whose content starts in
-   an earlier document goes whole. Where an anchor has several contents, the
-   first document of each content also compares its single windows.
-2. *Automata.* Documents are dealt to shards. Each shard compiles the anchor
-   phrases of its confirmed passages into an Aho-Corasick automaton over word
-   numbers, streams all its documents through it, and at each occurrence that
-   belongs to a confirmed passage marks the words that the passage covers.
+   counted by (anchor, 128-bit content hash): a content that an earlier document
+   has too is a confirmed passage as a whole. Where an anchor has several
+   contents, single windows are compared as well, and those that an earlier
+   document has are confirmed passages of ``length`` words. No position in a
+   document leaves this step: a passage is its anchor phrase (the words), where
+   it begins relative to the phrase, its length, its hash, and its first document.
+2. *Automata.* Documents are dealt to shards, and each shard is sent the distinct
+   confirmed passages that its documents can hold. It compiles their phrases into
+   an Aho-Corasick automaton over word numbers and streams all its documents
+   through it. Every hit of a phrase proposes the passages around it; a proposal
+   counts if the words there hash to the passage, and then they are marked.
+
+Shards are of documents and not of phrases, because with phrase shards every
+document would have to visit every shard, which grows with the square of the
+corpus.
 
 Scale: about one segment in twenty words is shuffled (hashes only), then the
 texts once, to shards of bounded size. Counts of a hot passage combine on the
@@ -22,18 +30,22 @@ map side. Nothing depends on pairs of documents.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernels as T
 from .scratch import ship, stored
 
 ANCHOR = 10
-SEGMENT = pa.struct([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("p", pa.int32())])
-SEGMENT_DDL = "array<struct<h:bigint,a:bigint,b:bigint,s:int,n:int,p:int>>"
+#: Automaton hits that are checked at once; bounds the memory of a check.
+HITS = 1 << 14
+SEGMENT = pa.struct([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("o", pa.int32()), ("n", pa.int32())])
+SEGMENT_DDL = "array<struct<h:bigint,a:bigint,b:bigint,o:int,n:int>>"
 LAST = (1 << 63) - 1
 
 
@@ -41,8 +53,8 @@ class _Segments:
     """Segments of the rows of a slice: row, first word, number of windows, anchor hash and place."""
 
     def __init__(self, column: pa.Array, length: int):
-        words, self.at = T.word_hashes(column, T.byte_class(T.SPACES))
-        self.grams = grams = T.Grams(words)
+        self.words, self.at = T.word_hashes(column, T.byte_class(T.SPACES))
+        self.grams = grams = T.Grams(self.words)
         rows, starts = T.window_starts(self.at, length)
         anchors = grams.every(ANCHOR)
         least = T.sliding_min(anchors, length - ANCHOR + 1)[starts] if len(starts) else anchors[:0]
@@ -67,14 +79,15 @@ class _Segments:
 
 
 def _winnow(length: int):
+    """Segments of each text: anchor, content, the anchor's place in it, number of windows."""
+
     def kernel(batches):
         for whole in batches:
             for batch in T.slices(whole, "_text"):
                 x = _Segments(batch.column("_text"), length)
-                base = x.at[x.row]
                 values = pa.StructArray.from_arrays([
                     pa.array(T.signed(x.anchor)), pa.array(T.signed(x.a)), pa.array(T.signed(x.b)),
-                    pa.array((x.start - base).astype(np.int32)), pa.array(x.n.astype(np.int32)), pa.array((x.place - base).astype(np.int32)),
+                    pa.array((x.place - x.start).astype(np.int32)), pa.array(x.n.astype(np.int32)),
                 ], fields=list(SEGMENT))
                 size = T.column_bytes(batch.column("_text"))[0]
                 yield pa.RecordBatch.from_arrays([
@@ -85,70 +98,125 @@ def _winnow(length: int):
     return kernel
 
 
-def _single_windows(length: int, wanted: T.Bitmap):
-    """Window hashes of the segments that may be the first of their content."""
-    kinds = pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("i", pa.int32())])
+def _numbers(words: np.ndarray) -> np.ndarray:
+    """Word numbers as automata take them; words that share one are told apart by the passage's hash."""
+    return words & T.U(0x7FFFFFFF)
+
+
+def _phrases(length: int, wanted: T.Bitmap, several: T.Bitmap):
+    """Of segments that may be the first of their content: the anchor phrase, and where ``several`` says so the single windows."""
+    kinds = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("off", pa.int32())])
 
     def kernel(batches):
         for whole in batches:
             for batch in T.slices(whole, "_text"):
                 x = _Segments(batch.column("_text"), length)
-                doc = np.asarray(batch.column("_id"))[x.row]
-                take = np.flatnonzero(wanted.holds(x.a ^ doc.astype(T.U)))
-                n = x.n[take]
+                key = x.a ^ np.asarray(batch.column("_id"))[x.row].astype(T.U)
+                take = np.flatnonzero(wanted.holds(key))
+                n = np.where(several.holds(key[take]), x.n[take], 0)
                 at = np.repeat(x.start[take], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                base = x.at[x.row[take]]
                 values = pa.StructArray.from_arrays([
                     pa.array(T.signed(x.grams.runs(at, length))), pa.array(T.signed(x.grams.runs(at, length, 1))),
-                    pa.array((at - np.repeat(base, n)).astype(np.int32)),
+                    pa.array((at - np.repeat(x.place[take], n)).astype(np.int32)),
                 ], fields=list(kinds))
+                words = _numbers(x.words[x.place[take][:, None] + np.arange(ANCHOR)]).astype(np.int32)
                 rows = pa.array(x.row[take])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("_id").take(rows), batch.column("_th").take(rows),
                     pa.array(T.signed(x.anchor[take])), pa.array(T.signed(x.a[take])), pa.array(T.signed(x.b[take])),
-                    pa.array((x.place[take] - base).astype(np.int32)), T.list_array(n, values),
-                ], ["_id", "_th", "h", "a", "b", "p", "windows"])
+                    T.list_array(np.full(len(take), ANCHOR), pa.array(words.ravel())), T.list_array(n, values),
+                ], ["_id", "_th", "h", "a", "b", "phrase", "windows"])
 
     return kernel
 
 
-def _removal(length: int, with_text: bool):
-    """Per shard: compile confirmed phrases, stream the shard's texts, mark what confirmed passages cover."""
+class _Passages:
+    """The confirmed passages of a shard, found through an automaton of their phrases.
+
+    ``table`` has the columns h (the phrase's hash), phrase (its word numbers, null
+    where another row of the same h has them), off (where the passage begins,
+    counted from the phrase; null in a row that only brings the phrase), t (its
+    words), a and b (its hash), lo (the first document that has it). Rows may repeat.
+    """
+
+    def __init__(self, table: pa.Table):
+        told = table.filter(pc.is_valid(table.column("phrase")))
+        hashes, first = np.unique(told.column("h").to_numpy(), return_index=True)
+        words = told.column("phrase").combine_chunks().flatten().to_numpy().reshape(-1, ANCHOR)[first].tolist()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, phrase in enumerate(words):
+            self.automaton.add_word(tuple(phrase), k)
+        if words:
+            self.automaton.make_automaton()
+        table = table.filter(pc.is_valid(table.column("off")))
+        h, off, t, a, b, lo = (table.column(c).to_numpy() for c in ("h", "off", "t", "a", "b", "lo"))
+        order = np.lexsort((lo, b, a, t, off, h))
+        h, off, t, a, b, lo = (x[order] for x in (h, off, t, a, b, lo))
+        same_shape = (h[1:] == h[:-1]) & (off[1:] == off[:-1]) & (t[1:] == t[:-1])
+        new, fresh = np.ones((2, len(h)), bool)
+        new[1:], fresh[1:] = ~same_shape, ~(same_shape & (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
+        # Shapes: where a passage lies around its phrase. A hit tries the shapes of its phrase, not the passages.
+        shape = np.cumsum(new) - 1
+        self.off, self.t = off[new].astype(np.int64), t[new].astype(np.int64)
+        self.shape_at, self.shape_end = np.searchsorted(h[new], hashes, "left"), np.searchsorted(h[new], hashes, "right")
+        key = self._key(shape[fresh], np.ascontiguousarray(a[fresh]).view(T.U))
+        order = np.argsort(key, kind="stable")
+        self.key, self.b, self.lo = key[order], np.ascontiguousarray(b[fresh]).view(T.U)[order], lo[fresh][order]
+
+    @staticmethod
+    def _key(shape: np.ndarray, a: np.ndarray) -> np.ndarray:
+        return T.mix(a ^ T.mix(shape.astype(T.U)))
+
+    def covered(self, words: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which words of the texts, whose rows start at ``at`` and have the ids ``ids``, a passage of an earlier document covers."""
+        none = np.zeros(len(words), bool)
+        if not len(self.key) or len(words) < ANCHOR:
+            return none
+        hits = np.fromiter(chain.from_iterable(self.automaton.iter(tuple(_numbers(words).tolist()))), np.int64).reshape(-1, 2)
+        if not len(hits):
+            return none
+        grams = T.Grams(words)
+        change = np.zeros(len(words) + 1, np.int64)
+        for some in np.array_split(hits, -(-len(hits) // HITS)):
+            end, phrase = some[:, 0], some[:, 1]
+            tries = self.shape_end[phrase] - self.shape_at[phrase]
+            shape = np.repeat(self.shape_at[phrase], tries) + np.arange(int(tries.sum())) - np.repeat(np.cumsum(tries) - tries, tries)
+            place = np.repeat(end - ANCHOR + 1, tries)
+            row = np.searchsorted(at, place, "right") - 1
+            start = place + self.off[shape]
+            stop = start + self.t[shape]
+            inside = np.flatnonzero((start >= at[row]) & (stop <= at[row + 1]))
+            shape, row, start, stop = shape[inside], row[inside], start[inside], stop[inside]
+            key = self._key(shape, grams.runs(start, stop - start))
+            found = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            same = (self.key[found] == key) & (self.b[found] == grams.runs(start, stop - start, 1)) & (self.lo[found] < ids[row])
+            np.add.at(change, start[same], 1)
+            np.add.at(change, stop[same], -1)
+        return np.cumsum(change[:-1]) > 0
+
+
+def _removal(with_text: bool):
+    """Per shard: compile the confirmed phrases, stream the shard's texts, leave out what confirmed passages cover."""
     inside = T.byte_class(T.SPACES)
 
     def kernel(texts: pa.Table, passages: pa.Table) -> pa.Table:
-        confirmed: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
-        for i, th, p, s, n in zip(*(passages.column(c).to_pylist() for c in ("_id", "_th", "p", "s", "n"))):
-            confirmed.setdefault((i, th), {}).setdefault(p, []).append((s, n))
-        ids, hashes = texts.column("_id").to_pylist(), texts.column("_th").to_pylist()
-        column = texts.column("_text").combine_chunks()
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        numbers: dict[int, tuple[int, ...]] = {}
-        for k, key in enumerate(zip(ids, hashes)):
-            if key in confirmed:  # no other text can hold a confirmed passage
-                numbers[k] = tuple((T.word_hashes(column.slice(k, 1), inside)[0] & T.U(0x7FFFFFFF)).tolist())
-                for p in confirmed[key]:
-                    automaton.add_word(numbers[k][p : p + ANCHOR])
-        if numbers:
-            automaton.make_automaton()
+        known = _Passages(passages)
         n_words, n_removed, kept_hash, kept_text = [], [], [], []
-        for k, key in enumerate(zip(ids, hashes)):
-            words = (column[k].as_py() or "").encode().split()
-            gone = np.zeros(len(words) + 1, np.int32)
-            if k in numbers:
-                passages_at = confirmed[key]
-                for end, _ in automaton.iter(numbers[k]):
-                    for s, n in passages_at.get(end - ANCHOR + 1, ()):
-                        gone[s] += 1
-                        gone[s + n + length - 1] -= 1
-            keep = np.cumsum(gone[:-1]) == 0
-            removed = len(words) - int(keep.sum())
-            kept = b" ".join([words[j] for j in np.flatnonzero(keep).tolist()] if removed else words)
-            n_words.append(len(words))
-            n_removed.append(removed)
-            kept_hash.append(hashlib.sha256(kept).hexdigest())
-            if with_text:
-                kept_text.append(kept.decode())
+        for whole in texts.to_batches():
+            for batch in T.slices(whole, "_text"):
+                words, at = T.word_hashes(batch.column("_text"), inside)
+                gone = known.covered(words, at, np.asarray(batch.column("_id")))
+                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[at])
+                for k, text in enumerate(batch.column("_text").to_pylist()):
+                    own = (text or "").encode().split()
+                    if removed[k]:
+                        own = [own[j] for j in np.flatnonzero(~gone[at[k] : at[k + 1]]).tolist()]
+                    kept = b" ".join(own)
+                    kept_hash.append(hashlib.sha256(kept).hexdigest())
+                    if with_text:
+                        kept_text.append(kept.decode())
+                n_words += np.diff(at).tolist()
+                n_removed += removed.tolist()
         columns = {"_row": texts.column("_row"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(kept_hash, pa.string())}
         if with_text:
             columns["kept_text"] = pa.array(kept_text, pa.string())
@@ -158,13 +226,15 @@ def _removal(length: int, with_text: bool):
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50,
-             shard_bytes: int = 8 << 20, bits: int = 26, with_text: bool = False) -> DataFrame:
+             shard_bytes: int = 8 << 20, bits: int | None = None, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256 (and kept_text if asked for).
 
     Null and empty texts have no words; texts of fewer than ``length`` words keep
     all. Rows with equal ids, repeated rows too, never take words from each
-    other. A null id counts as larger than any other. An empty table gives an
-    empty result; other columns are not read.
+    other. A null id counts as larger than any other. Texts and words may be of
+    any length. An empty table gives an empty result; other columns are not read.
+    ``bits`` fixes the size of the bit arrays, which changes the cost and not the
+    result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -175,29 +245,32 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         text.alias("_text"), F.col(id_col).alias("_row"))
     slim = base.select("_id", "_th", "_text")
     found = stored(slim.mapInArrow(_winnow(length), f"_id bigint, _th bigint, bytes bigint, segments {SEGMENT_DDL}"), "segments")
-    segments = found.select("_id", "_th", F.inline("segments"))
+    total = found.agg(F.sum("bytes")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("_id", "_th"), F.lit(total // shard_bytes + 1)).alias("_shard")
+    segments = found.select("_id", shard, F.inline("segments"))
 
     content = ["h", "a", "b"]
-    contents = segments.groupBy(*content).agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
-    anchors = contents.groupBy("h").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y")
-    recurring = stored(contents.join(anchors, "h").where("hi > lo or c > 1").select(*content, "lo", "c"), "recurring")
-    whole = segments.join(recurring, content).where("_id > lo").select("_id", "_th", "p", "s", "n")
-
-    several = recurring.where("c > 1")
-    wanted = T.collect_bitmap(several.select(F.col("a").bitwiseXOR(F.col("lo")).alias("k")), "k", bits)
-    windows = stored(
+    contents = segments.groupBy(*content).agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.any_value("o").alias("o"), F.any_value("n").alias("n"))
+    # Stored, so that a hot anchor can be split in the join.
+    anchors = stored(contents.groupBy("h").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y").select("h", "c"), "anchors")
+    recurring = stored(contents.join(anchors, "h").where("hi > lo or c > 1").select(*content, "lo", "c", "o", "n"), "recurring")
+    first = recurring.select(F.col("a").bitwiseXOR(F.col("lo")).alias("k"), "c")
+    wanted, several = T.collect_bitmap(first, "k", bits), T.collect_bitmap(first.where("c > 1"), "k", bits)
+    # One row a content: its phrase, and its windows where other contents share the anchor.
+    firsts = stored(
         slim.mapInArrow(
-            _single_windows(length, wanted),
-            "_id bigint, _th bigint, h bigint, a bigint, b bigint, p int, windows array<struct<w1:bigint,w2:bigint,i:int>>",
-        ).join(several, content).where("_id = lo").select("_id", "_th", "p", F.inline("windows")), "windows")
+            _phrases(length, wanted, several),
+            "_id bigint, _th bigint, h bigint, a bigint, b bigint, phrase array<int>, windows array<struct<a:bigint,b:bigint,off:int>>",
+        ).join(recurring, content).where("_id = lo").dropDuplicates(content).select("_id", shard, *content, "lo", "c", "o", "n", "phrase", "windows"), "firsts")
+    windows = firsts.where("c > 1").select("_id", "_shard", "h", F.inline("windows"))
     # Only windows of several documents; stored, so that a hot window can be split in the join.
-    earliest = stored(windows.groupBy("w1", "w2").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last"), "earliest")
-    single = windows.join(earliest, ["w1", "w2"]).where("first < _id").select(
-        "_id", "_th", "p", F.col("i").alias("s"), F.lit(1).alias("n"))
-
-    total = found.agg(F.sum("bytes")).first()[0] or 0
-    shard = F.pmod(F.xxhash64("_id", "_th"), F.lit(total // shard_bytes + 1)).alias("_shard")
+    earliest = stored(windows.groupBy("a", "b").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").drop("hi"), "earliest")
+    single = windows.join(earliest, ["a", "b"]).where("lo < _id").select("_shard", "h", "off", F.lit(length).alias("t"), "a", "b", "lo")
+    whole = segments.select("_id", "_shard", *content).join(firsts.select(*content, "lo", "o", "n", "phrase"), content).where("_id > lo").select(
+        "_shard", "h", (-F.col("o")).alias("off"), (F.col("n") + (length - 1)).alias("t"), "a", "b", "lo", "phrase")
+    # Single windows go without their phrase, which goes once for each document that has some.
+    passages = whole.unionByName(single, allowMissingColumns=True).unionByName(
+        firsts.where("c > 1").select("_shard", "h", "phrase"), allowMissingColumns=True)
     out = f"_row {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    passages = whole.unionByName(single).select("*", shard)
-    done = base.select("*", shard).groupBy("_shard").cogroup(passages.groupBy("_shard")).applyInArrow(_removal(length, with_text), out)
+    done = base.select("*", shard).groupBy("_shard").cogroup(passages.groupBy("_shard")).applyInArrow(_removal(with_text), out)
     return done.withColumnRenamed("_row", id_col)
