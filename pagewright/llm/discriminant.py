@@ -7,8 +7,13 @@ and then towards a multiple of the identity; their Cholesky factors are computed
 once, and a score is the logistic of the difference of the classes' log
 densities (from Mahalanobis distances) plus log priors.
 
-Scale: two passes over the text, none of it shuffled; the driver sees
-2 (1 + d + d^2) sums for d features whatever the corpus.
+How far to shrink is chosen by cross-validation among the training rows: sums
+are kept by fold, each fold is scored by the models of the other folds for every
+pair of weights in ``WEIGHTS``, and the pair of least log loss is taken.
+
+Scale: two passes over the text, none of it shuffled, and two over the labelled
+rows' statistics; the driver sees 2 F (1 + d + d^2) sums for d features and F
+folds, and one loss for each pair of weights, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -17,15 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textkernels as T
-from .scratch import ship, stored
+from .scratch import packed, ship, stored, unpacked
 
 FEATURES = ("bytes", "words", "word_length", "upper", "digit", "stop", "pause", "symbol", "beyond_ascii", "doubled",
             "all_caps", "no_letter", "distinct_words", "repeated_lines", "line_words", "long_words")
 D = len(FEATURES)
+FOLDS = 4
+#: Shrinkage to choose from: (towards the pooled covariance, towards a multiple of the identity).
+WEIGHTS = tuple((pooled, identity) for pooled in (0.0, 0.2, 0.5, 0.8, 1.0) for identity in (0.001, 0.01, 0.1, 0.3))
 
 
 def _class(members) -> np.ndarray:
@@ -136,37 +145,51 @@ def _describing(batches):
                 [batch.column("_id"), T.list_array(np.full(len(x), D), pa.array(x.ravel().astype(np.float32)))], ["_id", "x"])
 
 
+def _rows_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = batch.column("x").flatten().to_numpy().astype(float).reshape(-1, D)
+    return x, np.asarray(batch.column("_label")), np.asarray(batch.column("_fold"))
+
+
+def sums_of(x: np.ndarray, label: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """(folds, classes, 1 + D + D^2): number of rows, sums of features and of their products."""
+    total = np.zeros((FOLDS, 2, 1 + D + D * D))
+    for f in range(FOLDS):
+        for k in (0, 1):
+            own = x[(label == k) & (fold == f)]
+            total[f, k] = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+    return total
+
+
 def _sums(batches):
-    total = np.zeros((2, 1 + D + D * D))
+    total = np.zeros((FOLDS, 2, 1 + D + D * D))
     for batch in batches:
-        x = batch.column("x").flatten().to_numpy().astype(float).reshape(-1, D)
-        label = np.asarray(batch.column("_label"))
-        for k in (0, 1):
-            own = x[label == k]
-            total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
-    m = total.shape[1]
-    yield pa.RecordBatch.from_arrays([
-        pa.array(np.repeat([0, 1], m).astype(np.int32)), pa.array(np.tile(np.arange(m), 2).astype(np.int32)), pa.array(total.ravel()),
-    ], ["k", "i", "v"])
+        total += sums_of(*_rows_of(batch))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size).astype(np.int32)), pa.array(total.ravel())], ["i", "v"])
 
 
-def held_out(id_col):
-    """Whether crc32 of the id as text, mod 5, is 0; a null id is the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+def _losses(models: list[list[Model]]):
+    """Summed log loss of each pair of weights, a row scored by the model that has not seen its fold."""
 
+    def kernel(batches):
+        total = np.zeros(len(models))
+        for batch in batches:
+            x, label, fold = _rows_of(batch)
+            for f in range(FOLDS):
+                own = fold == f
+                for c, by_fold in enumerate(models):
+                    total[c] += log_loss(by_fold[f].score(x[own]), label[own])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models)).astype(np.int32)), pa.array(total)], ["i", "v"])
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          towards_pooled: float = 0.8, towards_identity: float = 0.1) -> Model:
-    """Fit on the labelled rows that are not held out; null labels, and labels other than 0 and 1, are ignored."""
-    ship(docs.sparkSession)
-    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_l_id"), F.col(label_col).cast("int").alias("_label"))
-    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    # Statistics first: the join moves D numbers a row and no text. Stored, so that no task holds two Python workers.
-    rows = stored(rows.mapInArrow(_describing, f"_id {docs.schema[id_col].dataType.simpleString()}, x array<float>"), "statistics")
-    joined = rows.join(marks, rows["_id"] == marks["_l_id"]).select("x", "_label")
-    sums = np.zeros((2, 1 + D + D * D))
-    for k, i, v in joined.mapInArrow(_sums, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
-        sums[k, i] = v
+    return kernel
+
+
+def log_loss(score: np.ndarray, label: np.ndarray) -> float:
+    right = np.where(label == 1, score, 1 - score)
+    return float(-np.log(np.clip(right, 1e-12, 1)).sum())
+
+
+def fit(sums: np.ndarray, towards_pooled: float, towards_identity: float) -> Model:
+    """The model of (classes, 1 + D + D^2) sums; without rows, one that scores 0.5."""
     n = sums[:, 0]
     if not n.sum():
         return Model(np.zeros(D), np.ones(D), [None, None], [None, None], [0.0, 0.0])
@@ -192,29 +215,78 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(centre, scale, means, factors, logs)
 
 
-def _scoring(model: Model, text_col: str):
+def crc(id_col):
+    """crc32 of the id as text; a null id is the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def held_out(id_col):
+    """Whether crc32 of the id as text, mod 5, is 0; a null id is the empty text."""
+    return crc(id_col) % 5 == 0
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+          weights: tuple[tuple[float, float], ...] = ()) -> Model:
+    """Fit on the labelled rows that are not held out; null labels, and labels other than 0 and 1, are ignored.
+
+    ``weights`` are the pairs (towards the pooled covariance, towards the identity)
+    to choose from, by default those of ``WEIGHTS``; the first of equally good ones
+    is taken, and a single pair is used without cross-validation.
+    """
+    weights = weights or WEIGHTS
+    ship(docs.sparkSession)
+    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_l_id"), F.col(label_col).cast("int").alias("_label"))
+    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    # Statistics first: the join moves D numbers a row and no text. Stored, so that no task holds two Python workers.
+    rows = rows.mapInArrow(_describing, f"_id {docs.schema[id_col].dataType.simpleString()}, x array<float>")
+    known = stored(rows.join(marks, rows["_id"] == marks["_l_id"]).select("x", "_label", F.expr(f"cast(crc32(cast(cast(_id as string) as binary)) div 5 % {FOLDS} as int)").alias("_fold")), "statistics")
+
+    def added(kernel, size: int) -> np.ndarray:
+        total = np.zeros(size)
+        for i, v in known.mapInArrow(kernel, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            total[i] = v
+        return total
+
+    sums = added(_sums, FOLDS * 2 * (1 + D + D * D)).reshape(FOLDS, 2, -1)
+    every = sums.sum(axis=0)
+    best = 0
+    if len(weights) > 1 and every[:, 0].all():
+        best = int(np.argmin(added(_losses([[fit(every - sums[f], *w) for f in range(FOLDS)] for w in weights]), len(weights))))
+    return fit(every, *weights[best])
+
+
+def _scoring(model: Model, place: int):
     def kernel(batches):
         for whole in batches:
-            for batch in T.slices(whole, text_col):
-                column = batch.column(text_col)
-                scores = model.score(statistics(column))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "_score"])
+            text = pc.struct_field(whole.column("row"), [place]).cast(pa.string())
+            for batch in T.slices(pa.RecordBatch.from_arrays([whole.column("row"), text], ["row", "text"]), "text"):
+                scores = model.score(statistics(batch.column("text")))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], ["row", "score"])
 
     return kernel
 
 
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row, score): each row of ``docs`` as one struct, whatever its columns are called, and its score."""
+    ship(docs.sparkSession)
+    rows = packed(docs)
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
+    return rows.mapInArrow(_scoring(model, docs.columns.index(text_col)), schema)
+
+
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a column ``out``: the probability of good quality, between 0 and 1.
 
-    Null and empty texts score as an empty text does. Equal texts score equal.
+    Null and empty texts score as an empty text does. Equal texts score equal. A
+    column of ``docs`` that is called ``out`` too is replaced; others of any name
+    pass through.
     """
-    if out in docs.columns:
-        raise ValueError(f"docs already has a column {out}")
-    ship(docs.sparkSession)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    schema = StructType([*plain.schema.fields, StructField("_score", DoubleType())])
-    text = f"c{docs.columns.index(text_col)}"
-    return plain.mapInArrow(_scoring(model, text), schema).toDF(*docs.columns, out)
+    return unpacked(with_scores(docs, model, text_col), **{out: F.col("score")})
+
+
+def good(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``cut`` or more, with all their columns, of any name."""
+    return unpacked(with_scores(docs, model, text_col).where(F.col("score") >= cut))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, **options) -> DataFrame:
