@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import stored
+from .scratch import packed, stored, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ("_id", "_sha")
@@ -124,18 +124,16 @@ def assignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (see ``assignments``).
 
-    Of rows repeated with the same id and text, an arbitrary one stays.
+    Of rows repeated with the same id and text, an arbitrary one stays. Columns of
+    any name pass through.
     """
-    kept = stored(assignments(docs, id_col, text_col, **options), "kept")
-    sha = F.lower(F.hex(F.unhex(F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))))
-    marked = docs.withColumns({"_k_sha": sha})
-    key = kept.where("kept").select(F.col(id_col).alias("_k_id"), F.col("text_sha256").alias("_k_sha2"))
-    on = F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.col("_k_sha") == F.col("_k_sha2"))
-    stay = marked.join(key, on, "left_semi")
-    repeated = kept.groupBy(id_col, "text_sha256").count().where("count > 1").select(
-        F.col(id_col).alias("_k_id"), F.col("text_sha256").alias("_k_sha2"))
+    kept = stored(assignments(docs, id_col, text_col, **options).select(F.col(id_col).alias("k_id"), F.col("text_sha256").alias("k_sha"), "kept"), "kept")
+    on = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha"))
+    rows = packed(docs, id=F.col(id_col), sha=F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
+    stay = rows.join(kept.where("kept").drop("kept"), on, "left_semi")
+    repeated = kept.groupBy("k_id", "k_sha").count().where("count > 1").select("k_id", "k_sha")
     if repeated.isEmpty():
-        return stay.drop("_k_sha")
+        return unpacked(stay)
     once = stay.join(repeated, on, "left_anti")
-    many = stay.join(repeated, on, "left_semi").dropDuplicates([id_col, "_k_sha"])
-    return once.unionByName(many).drop("_k_sha")
+    many = stay.join(repeated, on, "left_semi").dropDuplicates(["id", "sha"])
+    return unpacked(once.unionByName(many))
