@@ -31,9 +31,11 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from . import textkernels as T
 from .components import components
-from .scratch import ship, stored
+from .scratch import packed, ship, spread, stored, unpacked
 
 LAST = (1 << 63) - 1
+#: Pairs of a bucket's members that a task compares, about, and places of a bucket that a task takes.
+PAIRS, PLACES = 200_000, 1_000
 MARK_WORDS = 16  # 64-bit words of the bit array that marks a text's shingles
 LAYER, CELL, DART = T.U(0xA24BAED4963EE407), T.U(0x9FB21C651E98DF25), T.U(0xD6E8FEB86659FD93)
 
@@ -160,7 +162,7 @@ def _alone(sets: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8,
-                 by_count: bool = False, bands: int = 32, rows_per_band: int = 4, bits: int = 23, growth: int = 8) -> DataFrame:
+                 by_count: bool = False, bands: int = 32, rows_per_band: int = 4, bits: int | None = None, growth: int = 8) -> DataFrame:
     """One row per row of ``docs``: id, class_id, class_size, kept, and _th (a hash of the text).
 
     Words are runs without white space, A-Z lower-cased; a text of fewer than
@@ -214,20 +216,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     roots, now, low, high = None, members.withColumn("root", F.col("node")), 0, 1
     while True:
-        split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("place").alias("most"))
-        split = stored(split.where(F.col("x") < F.col("y")).where(F.col("most") > low).select("key"), "split", few=True)
-        if split.isEmpty():
+        split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("place").alias("most"), F.count(F.lit(1)).alias("m"))
+        split = stored(split.where(F.col("x") < F.col("y")).where(F.col("most") > low).select("key", "most", "m"), "split", few=True)
+        work = split.agg(F.sum(F.col("m") * F.least(F.lit(high), "m"))).first()[0]
+        if work is None:
             break
+        # Buckets are few bytes and much work: tasks are counted by pairs, and a large bucket is cut into chunks of its places.
+        tasks, chunk = int(work) // PAIRS + 1, lambda place: F.floor((place - 1) / PLACES)
+        dealt = lambda df: df.repartition(tasks, "key", "chunk")  # noqa: E731, B023
         active = now.join(split, "key").where(F.col("place") > low)
         centres = active.where(F.col("place") <= high).select(
             "key", F.col("node").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_n"), F.col("f").alias("c_f"),
-            F.col("place").alias("c_place"), F.col("marks").alias("c_marks"))
+            F.col("place").alias("c_place"), F.col("marks").alias("c_marks"), F.explode(F.sequence(F.lit(0).cast("long"), chunk(F.col("most")))).alias("chunk"))
+        active = active.select("key", "node", "root", "n", "f", "marks", "place", chunk(F.col("place")).alias("chunk"))
         most = F.least("f", "c_f", F.col("n") - _lacking("marks", "c_marks"), F.col("c_n") - _lacking("c_marks", "marks"))
-        pairs = active.join(centres, "key").where(
+        pairs = dealt(active).join(dealt(centres), ["key", "chunk"]).where(
             (F.col("root") != F.col("c_root")) & (F.struct("place", "node") > F.struct("c_place", "c"))
             & (most >= threshold * (F.col("n") + F.col("c_n") - most) - 1e-9)
         ).select(F.greatest("node", "c").alias("u"), F.least("node", "c").alias("v")).distinct()
-        links = stored(_linked(pairs, sets, threshold), "links", few=True)
+        links = stored(spread(_linked(pairs, sets, threshold)), "links")
         low, high = high, high * growth
         if links.isEmpty():
             continue
@@ -250,33 +257,30 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _flagging(names: list[str], wanted: T.Bitmap):
     def kernel(batches):
         for batch in batches:
-            maybe = wanted.holds(np.asarray(batch.column("_n_key")).view(T.U))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*names, "_n_maybe"])
+            maybe = wanted.holds(np.asarray(batch.column("key")).view(T.U))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*names, "maybe"])
 
     return kernel
 
 
-def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 26, **options) -> DataFrame:
-    """One row of ``docs`` for each class, with all its columns (see ``near_classes``).
+def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, **options) -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns, of any name (see ``near_classes``).
 
-    Only rows that a bit array of fixed size names as perhaps dropped are
-    shuffled, to settle it by an anti-join on id and text hash.
+    Only rows that a bit array names as perhaps dropped are shuffled, to settle it
+    by an anti-join on id and text hash.
     """
-    classes = stored(near_classes(docs, id_col, text_col, **options), "classes")
+    classes = stored(near_classes(docs, id_col, text_col, **options).select(F.col(id_col).alias("n_id"), F.col("_th").alias("n_th"), "kept"), "classes")
     key = lambda i, h: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), h)
-    lost = classes.where("not kept").select(
-        F.col(id_col).alias("_n_id"), F.col("_th").alias("_n_th"), key(F.col(id_col), F.col("_th")).alias("k"))
-    kept = classes.where("kept").select(F.col(id_col).alias("_n_id"), F.col("_th").alias("_n_th"), key(F.col(id_col), F.col("_th")).alias("k"))
+    keyed = classes.withColumn("k", key(F.col("n_id"), F.col("n_th")))
+    lost, kept = keyed.where("not kept").drop("kept"), keyed.where("kept").drop("kept")
     again = lost.join(kept, lost["k"] == kept["k"], "left_semi").distinct()  # rows repeated with the kept one
-    hashed = docs.withColumn("_n_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    hashed = hashed.withColumn("_n_key", key(F.col(id_col), F.col("_n_hash")))
-    schema = StructType([*hashed.schema.fields, StructField("_n_maybe", BooleanType())])
+    hashed = packed(docs, id=F.col(id_col), th=F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("key", key(F.col("id"), F.col("th")))
+    schema = StructType([*hashed.schema.fields, StructField("maybe", BooleanType())])
     flagged = hashed.mapInArrow(_flagging(hashed.columns, T.collect_bitmap(lost, "k", bits)), schema)
-    on = F.col(id_col).eqNullSafe(F.col("_n_id")) & (F.col("_n_hash") == F.col("_n_th"))
-    gone = lost.select("_n_id", "_n_th").distinct()
-    stay = flagged.where(~F.col("_n_maybe")).unionByName(flagged.where("_n_maybe").join(gone, on, "left_anti"))
-    extra = ["_n_hash", "_n_key", "_n_maybe"]
+    on = F.col("id").eqNullSafe(F.col("n_id")) & (F.col("th") == F.col("n_th"))
+    gone = lost.select("n_id", "n_th").distinct()
+    stay = flagged.where("not maybe").unionByName(flagged.where("maybe").join(gone, on, "left_anti"))
     if again.isEmpty():
-        return stay.drop(*extra)
-    once = flagged.where("_n_maybe").join(again.select("_n_id", "_n_th"), on, "left_semi").dropDuplicates([id_col, "_n_hash"])
-    return stay.unionByName(once).drop(*extra)
+        return unpacked(stay)
+    once = flagged.where("maybe").join(again.select("n_id", "n_th"), on, "left_semi").dropDuplicates(["id", "th"])
+    return unpacked(stay.unionByName(once))
