@@ -30,7 +30,7 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespa
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 256 << 20
 GAP, RUN = 64 << 10, 8 << 20  # bytes skipped rather than starting a new read; bytes read at once
-REGION = 32 << 20
+REGION, LEAST_REGION = 32 << 20, 1 << 20  # bytes of archive that a task reads: the most, and the least for the sake of more tasks
 INDEX = "file string, offset bigint, length bigint, url string, digest string, page_id {kind}"
 
 
@@ -180,8 +180,11 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = False) ->
     spark = index.sparkSession
     ship(spark)
     kind = index.schema["page_id"].dataType.simpleString()
-    region = F.floor(F.col("offset") / REGION)
-    dealt = index.select("file", "offset", "length").repartition("file", region).sortWithinPartitions("file", "offset")
+    # Index rows are few bytes, archives are many: the number of tasks comes from the archives' bytes.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    size = min(max(total // (4 * spark.sparkContext.defaultParallelism), LEAST_REGION), REGION)
+    region = F.floor(F.col("offset") / size)
+    dealt = index.select("file", "offset", "length").repartition(total // size + 1, "file", region).sortWithinPartitions("file", "offset")
     schema = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", html string" * with_payload
     rows = dealt.mapInArrow(_reading(folder, with_payload), schema)
     return rows.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
