@@ -12,26 +12,34 @@ without a piece become byte pieces, which keeps decoding lossless; so does a
 literal U+2581, which only has byte pieces here.
 
 Memory is bounded by blocks of units, the cache of unit lattices by ``CACHED``.
+A unit of more than ``LONG`` characters (a text without spaces) is filtered and
+sampled in stretches: of its lattice only one number a character is kept, and
+its edges are found again, a stretch at a time, on the way back.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from . import textkernels as T
-from .scratch import ship
+from .scratch import packed, ship, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BLOCK, CACHED = 100_000, 100_000
+LONG, STRETCH = 20_000, 4_096
 STEP, PLACE = 0xD1342543DE82EF95, 0x9E3779B97F4A7C15
 
 
@@ -188,8 +196,57 @@ class Sampler:
         self.last.append(at[begin + sizes])
         self.nodes += len(group)
 
+    def _stretch(self, unit: str, low: int) -> list[list[tuple[int, int, float]]]:
+        """The edges (start, id, log weight) that end at each of the places low + 1, ..., low + ``STRETCH``."""
+        high, first = min(low + STRETCH, len(unit)), max(0, low - int(self.length.max()) + 1)
+        edges: list[list[tuple[int, int, float]]] = []
+        for at in range(low, high):
+            point = ord(unit[at])
+            i = int(self.single[point])
+            width = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+            edges.append([(at, i, float(self.log[i])) if i >= 0 else (at, self.size + point, width * self.byte_log)])
+        for end, i in self.automaton.iter(unit[first:high]):
+            if first + end >= low:
+                edges[first + end - low].append((first + end + 1 - int(self.length[i]), i, float(self.log[i])))
+        return edges
+
+    def sample_long(self, unit: str, seed: int) -> np.ndarray:
+        """Piece ids of one unit of any length, in memory of a few bytes a character."""
+        reached = array("d", [0.0])
+        for low in range(0, len(unit), STRETCH):
+            for edges in self._stretch(unit, low):
+                values = [reached[s] + w for s, _, w in edges]
+                most = max(values)
+                reached.append(most + math.log(sum(math.exp(v - most) for v in values)))
+        drawn, place, held, low, state = array("q"), len(unit), [], -1, seed
+        while place:
+            if (place - 1) // STRETCH * STRETCH != low:
+                low = (place - 1) // STRETCH * STRETCH
+                held = self._stretch(unit, low)
+            edges = held[place - 1 - low]
+            shares = [math.exp(reached[s] + w - reached[place]) for s, _, w in edges]
+            state = (state * STEP + PLACE) & 0xFFFFFFFFFFFFFFFF
+            left = (state >> 11) * 2.0**-53 * sum(shares)
+            for (start, i, _), share in zip(edges, shares):
+                left -= share
+                if left < 0:
+                    break
+            drawn.extend([i] if i < self.size else [int(self.by_byte[b]) for b in reversed(chr(i - self.size).encode())])
+            place = start
+        return np.array(drawn, np.int64)[::-1]
+
     def sample(self, units: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids, number of pieces of each unit) for units with a random seed each."""
+        long = {k: self.sample_long(unit, int(seeds[k])) for k, unit in enumerate(units) if len(unit) > LONG}
+        if not long:
+            return self._sample(units, seeds)
+        ids, counts = self._sample([unit if k not in long else " " for k, unit in enumerate(units)], seeds)
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for k, own in long.items():
+            parts[k], counts[k] = own, len(own)
+        return np.concatenate(parts), counts
+
+    def _sample(self, units: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.units) > CACHED:
             self.reset()
         known = len(self.units)
@@ -293,26 +350,24 @@ def _sampler(shared) -> Sampler:
 _HELD: dict = {}
 
 
-def _encoding(shared, names: list[str], text_name: str, out: str, lossless: str | None):
+def _encoding(shared, place: int, check: bool):
     def kernel(batches):
         sampler = _sampler(shared)
         for whole in batches:
-            for batch in T.slices(whole, text_name):
-                texts = [t or "" for t in batch.column(text_name).to_pylist()]
-                seeds = np.asarray(batch.column("_seed")).astype(np.int64).view(T.U)
-                ids = sampler.encode(texts, seeds)
+            text = pc.struct_field(whole.column("row"), [place]).cast(pa.string())
+            for batch in T.slices(pa.RecordBatch.from_arrays([*whole.columns, text], ["row", "seed", "text"]), "text"):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                ids = sampler.encode(texts, np.asarray(batch.column("seed")).astype(np.int64).view(T.U))
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
                 column = T.list_array(np.array([len(i) for i in ids]), pa.array(flat.astype(np.int32)))
-                made = {out: column}
-                if lossless:
-                    made[lossless] = pa.array([sampler.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made.values()], [*names, *made])
+                back = pa.array([sampler.decode(i.tolist()) == t if check else None for i, t in zip(ids, texts)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), column, back], ["row", "ids", "lossless"])
 
     return kernel
 
 
-def _seeded(docs: DataFrame, id_col: str, seed: int):
-    return docs.withColumn("_seed", F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def _seed(id_col: str, seed: int):
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "piece_ids", seed: int = 0, model: str = MODEL,
@@ -324,44 +379,47 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out
 
     A row's draw depends on ``seed``, its id and its text only: repeated rows are
     segmented alike, null ids share a seed. Null and empty texts have no pieces.
+    Columns of ``docs`` with the names of the new ones are replaced; others of any
+    name pass through.
     """
-    if {out, lossless, "_seed"} & set(docs.columns):
-        raise ValueError(f"docs already has a column {out}, {lossless} or _seed")
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(vocabulary(model))  # a vocabulary: bounded whatever the corpus
-    rows = _seeded(docs, id_col, seed)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` array<int>"
-    schema += f", `{lossless}` boolean" if lossless else ""
-    return rows.mapInArrow(_encoding(shared, docs.columns, text_col, out, lossless), schema)
+    rows = packed(docs, seed=_seed(id_col, seed))
+    schema = StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("lossless", BooleanType())])
+    made = rows.mapInArrow(_encoding(shared, docs.columns.index(text_col), lossless is not None), schema)
+    return unpacked(made, **{out: F.col("ids")}, **({lossless: F.col("lossless")} if lossless else {}))
 
 
 def decoded(rows: DataFrame, ids_col: str = "piece_ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``rows`` with a string column ``out``: the text of the pieces in ``ids_col``."""
-    if out in rows.columns:
-        raise ValueError(f"rows already has a column {out}")
+    """``rows`` with a string column ``out``: the text of the pieces in ``ids_col``; empty for a null or empty list.
+
+    A column that is called ``out`` too is replaced; others of any name pass through.
+    """
     spark = rows.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(vocabulary(model))
+    place = rows.columns.index(ids_col)
 
     def kernel(batches):
         table = byte_table(*shared.value)
         for batch in batches:
-            column = batch.column(ids_col)
-            column = column.fill_null([]) if column.null_count else column
-            at, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            texts = [decode(table, flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            texts = [decode(table, ids or []) for ids in pc.struct_field(batch.column("row"), [place]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` string"
-    return rows.mapInArrow(kernel, schema)
+    every = packed(rows)
+    made = every.mapInArrow(kernel, StructType([*every.schema.fields, StructField("text", StringType())]))
+    return unpacked(made, **{out: F.col("text")})
 
 
 def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, model: str = MODEL) -> DataFrame:
     """One row per row of ``docs``: id, n_pieces, pieces_sha256, decoded_sha256, lossless.
 
     Encodes and decodes each whole text on the executors. pieces_sha256 is of the
-    ids as 32-bit little-endian integers, decoded_sha256 of the decoded text.
+    ids as 32-bit little-endian integers, decoded_sha256 of the decoded text. Null
+    and empty texts have no pieces and decode to the empty text, without loss;
+    repeated rows and null ids pass through; an empty table gives an empty result;
+    other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -382,6 +440,6 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     pa.array([a == b for a, b in zip(texts, back)]),
                 ], ["_id", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"])
 
-    rows = _seeded(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")), "_id", seed)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), _seed(id_col, seed).alias("_seed"))
     schema = f"_id {kind}, n_pieces bigint, pieces_sha256 string, decoded_sha256 string, lossless boolean"
     return rows.mapInArrow(kernel, schema).withColumnRenamed("_id", id_col)
