@@ -51,6 +51,19 @@ def test_exact_keeps_one_row_of_each_text_with_its_columns(spark):
     assert kept[0].asDict().keys() == {"doc_id", "text", "name", "h", "root"}
 
 
+CLASHING = "_k_sha _k_id k_id k_sha sha id kept n_id n_th th key maybe row _n_hash _n_key _n_maybe root node".split()
+
+
+@pytest.mark.parametrize("kept_rows", [blocknames.deduplicated, dartminhash.near_deduplicated])
+def test_kept_rows_keep_columns_of_any_name(spark, kept_rows):
+    rows = [(1, "a b c"), (2, "A b c"), (3, None), (3, None), (None, "x"), (4, "d e f g h i j")]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in CLASHING]) for i, t in rows], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in CLASHING))
+    got = kept_rows(docs)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert len(got) == 4 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in CLASHING)
+
+
 def test_exact_of_an_empty_table(spark):
     empty = frame(spark, AWKWARD).limit(0)
     assert blocknames.assignments(empty).count() == 0 and blocknames.deduplicated(empty).count() == 0
@@ -105,6 +118,28 @@ def test_substring_removal_by_hand(spark, seed):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got), key=str) == removed_by_hand(docs, 50)
 
 
+def test_occurrences_come_from_the_automaton():
+    import numpy as np
+    import pyarrow as pa
+
+    from pagewright.llm import textkernels as T
+
+    run = " ".join(f"w{k}" for k in range(60))
+    words, at = T.word_hashes(pa.array(["q q q " + run, "w0 " + run + " z"]), T.byte_class(T.SPACES))
+    grams, start = T.Grams(words), np.array([3])
+    passage = [-5, 50, int(T.signed(grams.runs(start, 50))[0]), int(T.signed(grams.runs(start, 50, 1))[0])]
+    kinds = [("h", pa.int64()), ("phrase", pa.list_(pa.int32())), ("off", pa.int32()), ("t", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int64())]
+    rows = [[4, None, *passage, 9], [4, phrases._numbers(words[8:18]).tolist(), None, None, None, None, None], [4, None, *passage, 7], [4, None, *passage, 7]]
+    known = phrases._Passages(pa.table(list(map(list, zip(*rows))), schema=pa.schema(kinds)))
+    # Found in both texts, though no position was given for either.
+    assert np.flatnonzero(known.covered(words, at, np.array([9, 8]))).tolist() == [*range(3, 53), *range(64, 114)]
+    assert not known.covered(words, at, np.array([7, 6])).any()
+    known.automaton = phrases.ahocorasick.Automaton(phrases.ahocorasick.STORE_INTS, phrases.ahocorasick.KEY_SEQUENCE)
+    known.automaton.add_word((1, 2, 3), 0)
+    known.automaton.make_automaton()
+    assert not known.covered(words, at, np.array([9, 8])).any()
+
+
 def test_substring_of_an_empty_table_and_a_long_text(spark):
     assert phrases.removals(frame(spark, AWKWARD).limit(0)).count() == 0
     long = " ".join(f"w{k}" for k in range(150_000))

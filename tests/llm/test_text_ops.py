@@ -104,6 +104,29 @@ def test_novelty_reports_keys_and_not_names(spark):
     assert by == {1: "novel:12:32", 2: "", 3: "", 4: "", None: ""}
 
 
+@pytest.mark.parametrize("kind,piece", [
+    ("ip", "8[.]8[.]8[.]8"), ("ip", "1 . 1 . 1 . 1"), ("email", "theresa.von.habsburg-lothringen(at)example(dot)org"), ("email", "jane(at)mail.research(dot)example(dot)org")])
+def test_the_model_sees_whole_segments(kind, piece):
+    text = f"one two {piece} three four"
+    assert [(text[a:b], k) for a, b, k in semicrf.found_spans(text, semicrf.trained(), [])] == [(piece, kind)]
+
+
+def test_long_repeated_and_digit_free_keys():
+    rng, meter = random.Random(4), novelty.Meter()
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    found = lambda text: [text[a:b] for a, b, _ in novelty.novel_spans(text, [], meter)]
+    upper, letters = "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n in (96, 128, 256):
+        k = key(upper, n)
+        assert found(f"the auth key {k} ends") == [k]
+    k = key(letters + "0123456789", 40)
+    assert found(f"auth credential {k} then bearer {k} end") == [k, k]
+    assert found(f"auth credential {k} " + "w " * 230 + f"bearer {k} end") == [k, k]  # the window cuts a copy
+    k = key(letters, 40)
+    assert found(f"bearer {k} end") == [k]
+    assert found("the auth key is getDefaultConfigurationValue and Authentication_Manager_Configuration and " + "Ab1" * 40) == []
+
+
 def test_spans_are_written_by_start_then_kind():
     assert spans.serial([(5, 9, "b"), (5, 7, "a"), (1, 2, "b")], ("a", "b")) == "b:1:2,a:5:7,b:5:9"
 
@@ -146,6 +169,46 @@ def test_contamination_by_hand(spark, bits):
     assert len(kept) == sum(not r.contaminated for r in got) and {r.doc_id for r in kept} == {i for i, _ in clean}
 
 
+def test_contamination_comes_from_joined_fingerprints(spark, monkeypatch):
+    items = [(1, " ".join(f"w{k}" for k in range(30))), (2, "tiny item")]
+    docs = [(1, "x " + items[0][1] + " y"), (2, " ".join(f"w{k}" for k in range(9))), (3, "a tiny item b"), (4, " ".join(f"w{k}" for k in range(5, 16)))]
+    run = lambda: {r.doc_id: r.n_hit for r in winnowing.contamination(frame(spark, docs), frame(spark, items, "item_id")).collect()}
+    assert run() == {1: 30, 2: 0, 3: 2, 4: 11}
+    monkeypatch.setattr(winnowing, "_agreeing", lambda side, reach: winnowing.F.lit(0))  # without extension only whole-gram items are left
+    assert run() == {1: 0, 2: 0, 3: 2, 4: 0}
+    monkeypatch.undo()
+    stored = winnowing.stored
+    monkeypatch.setattr(winnowing, "stored", lambda df, label: stored(df.withColumn("fp", df["fp"] + 1) if label == "items" else df, label))
+    monkeypatch.setattr(winnowing.T.Bitmap, "holds", lambda self, h: np.ones(len(h), bool))
+    assert run() == dict.fromkeys((1, 2, 3, 4), 0)
+
+
+def test_decontaminated_rows_keep_columns_of_any_name(spark):
+    names = ["_w_key", "key", "bad", "row", "item_id", "_text", "hits", "spans"]
+    docs = spark.createDataFrame([(1, "the odd item words here", *range(8)), (2, "clean", *range(8)), (2, None, *range(8)), (None, "clean", *range(8))],
+                                 "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = winnowing.decontaminated(docs, frame(spark, [(1, "odd item words")], "item_id"))
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(2, "clean", *range(8)), (2, None, *range(8)), (None, "clean", *range(8))], key=str)
+
+
+def test_contamination_of_a_very_long_text(spark):
+    item = " ".join(f"q{k}" for k in range(12))
+    long = "word " * 150_000 + item + " " + "x" * 300_000 + " " + item.upper() + " tail" * 9
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in winnowing.contamination(frame(spark, [(1, long), (2, "x" * 600_000)]), frame(spark, [(7, item)], "item_id")).collect()}
+    assert got == {1: (150_000 + 25 + 9, 24, 1), 2: (1, 0, 0)}
+
+
+def test_a_very_long_word_hashes_alike_in_texts_of_any_length():
+    import pyarrow as pa
+
+    from pagewright.llm import textkernels
+
+    word, inside = "b" * 300_000, textkernels.byte_class(textkernels.SPACES)
+    short, long = (textkernels.word_hashes(pa.array([t]), inside)[0] for t in ("a " + word + " c", "a " + word + " c" * 200_000))
+    assert (short == long[:3]).all()
+
+
 def test_contamination_with_empty_tables(spark):
     docs = frame(spark, [(1, "some words"), (2, None)])
     none = frame(spark, [(1, "x")], "item_id").limit(0)
@@ -174,6 +237,61 @@ def test_quality_uses_the_text_only_and_takes_awkward_rows(spark):
     assert discriminant.quality(docs.limit(0), labels).count() == 0
 
 
+def labelled(n=400):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    line = lambda q: " ".join(word().upper() + "!!" if not q and rng.random() < 0.3 else word() + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(5, 60)))
+    return [(i, line(i % 3 > 0), i % 3 > 0) for i in range(n)]
+
+
+def test_fit_and_choice_of_weights_by_hand(spark):
+    import zlib
+
+    import pyarrow as pa
+
+    rows = labelled()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(q)) for i, _, q in rows], "doc_id bigint, quality int")
+    weights = ((0.0, 0.01), (0.5, 0.1), (1.0, 0.3))
+    model = discriminant.train(docs, labels, weights=weights)
+    crc = np.array([zlib.crc32(str(i).encode()) for i, _, _ in rows])
+    own = crc % 5 != 0
+    x = discriminant.statistics(pa.array([t for _, t, _ in rows])).astype(np.float32).astype(float)
+    y, fold = np.array([q for _, _, q in rows]), crc // 5 % discriminant.FOLDS
+
+    def plain(train, w):
+        """Means, covariances and log densities written out, without sums or factors."""
+        a, b = x[train & ~y], x[train & y]
+        centre, scale = x[train].mean(0), np.where(x[train].std(0) > 1e-9, x[train].std(0), 1)
+        parts = [((p - centre) / scale) for p in (a, b)]
+        covs = [np.cov(p.T, bias=True) for p in parts]
+        pooled = (len(a) * covs[0] + len(b) * covs[1]) / (len(a) + len(b))
+        z, density = (x - centre) / scale, []
+        for p, c in zip(parts, covs):
+            c = (1 - w[0]) * c + w[0] * pooled
+            c = (1 - w[1]) * c + w[1] * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c))
+            d = z - p.mean(0)
+            density.append(np.log(len(p) / train.sum()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(c), d))
+        return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+
+    loss = [sum(discriminant.log_loss(plain(own & (fold != f), w)[own & (fold == f)], y[own & (fold == f)]) for f in range(discriminant.FOLDS)) for w in weights]
+    best = plain(own, weights[int(np.argmin(loss))])
+    assert np.allclose(model.score(x), best, atol=1e-5)
+    assert not np.allclose(best, plain(own, weights[int(np.argmax(loss))]), atol=1e-3)
+    turned = spark.createDataFrame([(i, int(q) if o else int(not q)) for (i, _, q), o in zip(rows, own)], "doc_id bigint, quality int")
+    assert np.allclose(discriminant.train(docs, turned, weights=weights).score(x), model.score(x), atol=1e-9)  # held-out labels change nothing
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_quality", "score", "row", "ids", "seed", "_seed", "lossless", "piece_ids", "key", "maybe"]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t, _ in labelled(12)], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    model = discriminant.train(docs, spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert sorted(map(tuple, discriminant.good(docs, model).collect())) == sorted(map(tuple, docs.collect()))
+    got = latticepieces.encoded(docs, lossless="lossless")
+    assert set(got.columns) == set(docs.columns) and all(r.lossless is True and r.score == f"score{r.doc_id}" and isinstance(r.piece_ids, list) for r in got.collect())
+    assert all(r.text == r.score for r in latticepieces.decoded(got, out="score").collect())
+
+
 def test_density_is_the_normal_density():
     rng = np.random.default_rng(1)
     cov = np.cov(rng.normal(size=(3, 50)))
@@ -210,6 +328,12 @@ def test_url_verdicts_by_hand(spark):
     assert {r.verdict for r in urlrules.verdicts(pages, urlrules.rule_table(spark, rules).limit(0)).collect()} == {"allow"}
 
 
+def test_hosts_of_any_number_of_labels(spark):
+    host = "a." * 200_000 + "example.net"
+    got = urlrules.verdicts(spark.createDataFrame([(1, f"http://{host}/en/x"), (2, f"http://{host}x/"), (3, "http://" + "." * 100_000 + "net/")], "page_id bigint, url string"), urlrules.rule_table(spark))
+    assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == {1: ("example.net/en/", "allow"), 2: (None, "allow"), 3: ("net/", "block")}
+
+
 # ---- archives --------------------------------------------------------------------------------
 
 
@@ -285,6 +409,29 @@ def test_samples_follow_the_lattice_distribution(sampler, word):
     assert max(abs(drawn[k] / n - math.exp(w) / total) for k, w in paths.items()) < 0.015
 
 
+def test_long_units_follow_the_same_distribution_and_stay_small(sampler, monkeypatch):
+    import tracemalloc
+
+    text = "this"
+    monkeypatch.setattr(latticepieces, "STRETCH", 2)
+    n = 20_000
+    from pagewright.llm import textkernels
+
+    seeds = textkernels.mix(np.arange(n).astype(np.uint64))
+    short = Counter(tuple(x.tolist()) for x in sampler.encode([text] * n, seeds))
+    long = Counter(tuple(sampler.sample_long(" " + text, int(s)).tolist()) for s in textkernels.mix(seeds))
+    assert set(long) <= set(short) | {k for k in long if long[k] < 20}
+    assert max(abs(long[k] - short[k]) / n for k in short) < 0.015
+    monkeypatch.undo()
+    for whole in ("x" * 200_000, "ab▁é漢😀" * 20_000, " " * 60_000, "one two " * 3 + "=" * 50_000 + " end\n"):
+        tracemalloc.start()
+        ids = sampler.encode([whole], np.array([3], np.uint64))[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sampler.decode(ids.tolist()) == whole and peak < 60 << 20
+        assert (sampler.encode([whole], np.array([3], np.uint64))[0] == ids).all()
+
+
 def test_units_never_cut_a_piece(sampler):
     for _, piece, _ in latticepieces.vocabulary()[0]:
         for context in ("a" + piece, piece):
