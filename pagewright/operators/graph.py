@@ -7,6 +7,7 @@ collected, and lineage is cut in the checkpoint folder between rounds.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -16,25 +17,50 @@ HOPS = 64  # of inheritance
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's checkpoint folder; a temporary one is set only where none is named."""
+    """Cut lineage in the cluster's checkpoint folder; one process on one machine may do without a named folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-"))
     return df.checkpoint()
 
 
+def running_totals(rows: DataFrame, groups: list[str], order: list[str], amount: str, out: str) -> DataFrame:
+    """``rows`` with the sum of ``amount`` over the rows before them in their group, by ``order``; ties in any order.
+
+    Rows are dealt out by ranges, summed within a range, and the sums of the ranges
+    before are added, so a group of any size spreads over the tasks; only one row a
+    range and group meets in one place.
+    """
+    keys = [F.col(c) for c in (*groups, *order)]
+    dealt = checkpointed(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range", *groups).agg(F.sum(amount).alias("_sum"))
+    ranges = ranges.select(F.col("_range").alias("_r"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for k, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    within = Window.partitionBy("_range", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return summed.join(ranges, same).select(*rows.columns, (F.col("_before") + F.col("_within")).alias(out))
+
+
 def reachable(references: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, depth): all objects that roots (node) lead to, at the least number of steps. Cycles are safe."""
+    """(node, depth): all objects that roots (node) lead to, at the least number of steps; more than ``most`` are an error.
+
+    Cycles are safe.
+    """
     found = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = found
     for depth in range(1, most + 1):
         step = references.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = checkpointed(step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return found
         found = found.unionByName(frontier)
-    return found
+    raise RuntimeError(f"not done after {most} steps")
 
 
 def inherit(nodes: DataFrame, attribute: str, hops: int = HOPS) -> DataFrame:
@@ -95,12 +121,31 @@ def first_use(uses: DataFrame, key: str = "xref") -> DataFrame:
 
 
 def range_lookup(keys: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Name-tree lookup: each key with the leaf (low, high, value) whose limits hold it."""
-    return keys.join(nodes, (keys["key"] >= nodes["low"]) & (keys["key"] <= nodes["high"]), "left")
+    """Name-tree lookup: each key with the leaf (low, high, value) whose limits hold it; leaves do not overlap.
+
+    Keys and limits are sorted together, by ranges; the leaf of a key is the last
+    one that begins at or before it, perhaps in an earlier range. A key without a
+    leaf has null low, high and value.
+    """
+    leaf = F.struct("low", "high", "value")
+    spots = nodes.select(F.col("low").alias("key"), leaf.alias("leaf"))
+    wanted = keys.select("key").where("key is not null").distinct().select("key", F.lit(None).cast(spots.schema["leaf"].dataType).alias("leaf"))
+    both = checkpointed(spots.unionByName(wanted).repartitionByRange("key").withColumn("_range", F.spark_partition_id()))
+    last = both.where("leaf is not null").groupBy("_range").agg(F.max_by("leaf", "key").alias("last"))
+    ranges = both.select("_range").distinct().join(last, "_range", "left")
+    earlier = ranges.select(F.col("_range"), F.last("last", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    here = F.last("leaf", ignorenulls=True).over(Window.partitionBy("_range").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("_here", here).where("leaf is null").join(earlier, "_range").select(F.col("key").alias("_key"), F.coalesce("_here", "_earlier").alias("_leaf"))
+    held = F.when(F.col("_key") <= F.col("_leaf.high"), F.col("_leaf"))
+    found = found.select("_key", held.alias("_leaf"))
+    return keys.join(found, keys["key"] == found["_key"], "left").select(*[keys[c] for c in keys.columns], *[F.col(f"_leaf.{c}").alias(c) for c in ("low", "high", "value")])
 
 
 def flatten_tree(spark: SparkSession, nodes: DataFrame, most: int = 32) -> DataFrame:
-    """(num, path, depth): depth-first order of a tree (num, parent, pos); roots have a null parent."""
+    """(num, path, depth): depth-first order of a tree (num, parent, pos); roots have a null parent.
+
+    A tree of more than ``most`` levels (or one with a cycle below a root) is an error.
+    """
     level = nodes.where("parent is null").select("num", F.array("pos").alias("path"), F.lit(0).alias("depth"))
     out = level
     for depth in range(1, most + 1):
@@ -108,18 +153,19 @@ def flatten_tree(spark: SparkSession, nodes: DataFrame, most: int = 32) -> DataF
         level = checkpointed(child.join(level, child["_p"] == level["num"]).select(
             F.col("_n").alias("num"), F.concat("path", F.array("pos")).alias("path"), F.lit(depth).alias("depth")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise RuntimeError(f"a tree of more than {most} levels")
 
 
-def prune(nodes: DataFrame, removed: DataFrame, most: int = 64) -> DataFrame:
+def prune(nodes: DataFrame, removed: DataFrame) -> DataFrame:
     """A tree (num, parent, is_leaf) without the removed leaves and without inner nodes that lost all children."""
     left = checkpointed(nodes.join(removed.select("num"), "num", "left_anti"))
-    for _ in range(most):
+    size = left.count()
+    while True:  # each round takes a node at least, so it ends
         parents = left.where("parent is not null").select(F.col("parent").alias("num")).distinct()
-        kept = checkpointed(left.where("is_leaf").unionByName(left.where("not is_leaf").join(parents, "num", "left_semi")))
-        if kept.count() == left.count():
-            return kept
-        left = kept
-    return left
+        left = checkpointed(left.where("is_leaf").unionByName(left.where("not is_leaf").join(parents, "num", "left_semi")))
+        now = left.count()
+        if now == size:
+            return left
+        size = now

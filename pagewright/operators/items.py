@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagewright.functions.strings import stem
+from pagewright.operators.graph import running_totals
 
 # ---- annotations -----------------------------------------------------------------------------
 
@@ -184,21 +185,14 @@ def reason_counts(images: DataFrame, reason: Column) -> DataFrame:
 def output_names(parts: DataFrame, template: str = "{stem}.pdf") -> DataFrame:
     """Adds ``out_name`` to (name, part, ...): {stem}, {index}, {total}, {n}; several parts get -index if nothing tells them apart.
 
-    {n} counts outputs over the whole job by name and part. Only the keys are
-    numbered: partition totals first, then places within them, so no task sees
-    all rows.
+    {n} counts outputs over the whole job by name and part, from running totals of
+    the names, so no task sees all rows.
     """
     per = Window.partitionBy("name")
     counted = parts.withColumns({"_total": F.count(F.lit(1)).over(per), "_index": F.row_number().over(per.orderBy("part"))})
     if "{n}" in template:
         totals = parts.groupBy("name").agg(F.count(F.lit(1)).alias("_c"))
-        bucket = F.substring("name", 1, 4)
-        heads = totals.groupBy(bucket.alias("_b")).agg(F.sum("_c").alias("_s"))
-        # One row a prefix of four characters, so the single task of this window sees few rows whatever the job.
-        order = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        before = heads.withColumn("_before", F.coalesce(F.sum("_s").over(order), F.lit(0))).drop("_s")
-        within = totals.withColumn("_b", bucket).withColumn("_in", F.sum("_c").over(Window.partitionBy("_b").orderBy("name")) - F.col("_c"))
-        starts = within.join(before, "_b").select("name", (F.col("_before") + F.col("_in")).alias("_start"))
+        starts = running_totals(totals, [], ["name"], "_c", "_start").select("name", "_start")
         counted = counted.join(starts, "name").withColumn("_n", F.col("_start") + F.col("_index"))
     else:
         counted = counted.withColumn("_n", F.lit(0))

@@ -24,41 +24,45 @@ def _lines_of(rows: list[dict], spots: bool = False) -> list[dict]:
     each character of its text, None for a space that a gap stands for.
     """
     def turned(g):
-        x, y, dy = g["x0"], g["baseline"], g.get("dy")
-        if not dy and (g.get("dx") is None or g["dx"] > 0):
-            return 0, x, y, 0.0
-        angle = round(math.degrees(math.atan2(dy or 0.0, g["dx"])) / 5) % 72
+        angle = round(math.degrees(math.atan2(g.get("dy") or 0.0, g["dx"])) / 5) % 72
         turn = math.radians(angle * 5)
-        return angle, x * math.cos(turn) + y * math.sin(turn), -x * math.sin(turn) + y * math.cos(turn), turn
+        x, y = g["x0"], g["baseline"]
+        return g, angle, x * math.cos(turn) + y * math.sin(turn), -x * math.sin(turn) + y * math.cos(turn), turn
 
-    marked = [(g, *turned(g)) for g in rows]
+    upright = lambda g: not g.get("dy") and (g.get("dx") is None or g["dx"] > 0)
+    marked = [(g, 0, g["x0"], g["baseline"], 0.0) if upright(g) else turned(g) for g in rows]
     marked.sort(key=lambda m: (m[1], -m[3], m[2]))
     groups: list[list] = []
     angle, total, largest = None, 0.0, 0.0  # of the line so far
     for m in marked:
         size = m[0]["size"]
-        if groups and m[1] == angle and abs(m[3] - total / len(groups[-1])) <= NEW_LINE * max(largest, size):
+        if groups and m[1] == angle and abs(m[3] - total / len(groups[-1])) <= NEW_LINE * (size if size > largest else largest):
             groups[-1].append(m)
-            total, largest = total + m[3], max(largest, size)
+            total += m[3]
+            if size > largest:
+                largest = size
         else:
             groups.append([m])
             angle, total, largest = m[1], m[3], size
     out = []
     for line in groups:
         line.sort(key=lambda m: m[2])
-        text, end, at = "", None, []
-        for g, _, along, _, turn in line:
-            span = (g["x1"] - g["x0"]) * abs(math.cos(turn)) + (g["y1"] - g["y0"]) * abs(math.sin(turn))
-            space = g.get("space_width") or 0.0
-            if end is not None and along - end > max(0.5 * space, 0.12 * g["size"]) and not text.endswith(" ") and g["text"] != " ":
-                text += " "
+        parts, end, at, spaced = [], None, [], False  # spaced: the text so far ends with a space
+        level, across = abs(math.cos(line[0][4])), abs(math.sin(line[0][4]))
+        for g, _, along, _, _ in line:
+            shown = g["text"]
+            if end is not None and along > end and not spaced and shown != " " and along - end > max(0.5 * (g.get("space_width") or 0.0), 0.12 * g["size"]):
+                parts.append(" ")
                 at.append(None)
-            if not (g["text"].isspace() and text.endswith(" ")):
-                text += g["text"]
-                at += [g] * len(g["text"])
-            end = along + span
-        sizes = sorted(m[0]["size"] for m in line)
+                spaced = True
+            if not spaced or not shown.isspace():
+                parts.append(shown)
+                at += [g] * len(shown)
+                spaced = shown.endswith(" ")
+            end = along + (g["x1"] - g["x0"]) * level + (g["y1"] - g["y0"]) * across
+        text = "".join(parts)
         boxes = [m[0] for m in line]
+        sizes = sorted(g["size"] for g in boxes)
         out.append({
             "text": text.strip(), "x0": min(b["x0"] for b in boxes), "y0": min(b["y0"] for b in boxes), "x1": max(b["x1"] for b in boxes),
             "y1": max(b["y1"] for b in boxes), "baseline": line[0][0]["baseline"], "size": sizes[len(sizes) // 2]})

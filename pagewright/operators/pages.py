@@ -89,12 +89,25 @@ def split_ranges(pages: DataFrame, specs: list[str], strict: bool = True) -> Dat
 
 
 def merge(pages: DataFrame, into: Column | str, *order) -> DataFrame:
-    """Concatenate documents that share ``into``, by ``order`` (doc_id by default), then by page."""
-    rank = F.row_number().over(Window.partitionBy("_into").orderBy(*(order or (DOC,)), PAGE)) - 1
+    """Concatenate documents that share ``into``, by ``order`` (a document's columns; doc_id by default), then by page.
+
+    Documents are counted first, and get their first page number from the counts
+    before them; pages are then numbered within their own document, so one large
+    target is no single task.
+    """
+    from .graph import running_totals
+
     target = F.col(into) if isinstance(into, str) else into
-    merged = pages.withColumn("_into", target).withColumn("_rank", rank.cast("int"))
+    marked = pages.withColumn("_into", target)
+    keys = [c for c in order if c != DOC]
+    sizes = marked.groupBy("_into", DOC).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_o{k}") for k, c in enumerate(keys)])
+    place = [DOC if c == DOC else f"_o{keys.index(c)}" for c in order or (DOC,)]
+    starts = running_totals(sizes, ["_into"], [*place, *([DOC] if DOC not in place else [])], "_n", "_start").select(
+        F.col("_into").alias("_to"), F.col(DOC).alias("_doc"), "_start")
+    rank = F.row_number().over(Window.partitionBy("_into", DOC).orderBy(PAGE)) - 1
+    merged = marked.withColumn("_rank", rank).join(starts, F.col("_into").eqNullSafe(F.col("_to")) & F.col(DOC).eqNullSafe(F.col("_doc")))
     kept = [c for c in pages.columns if c not in (DOC, PAGE)]
-    return merged.select(F.col("_into").alias(DOC), F.col("_rank").alias(PAGE), F.col(DOC).alias("from_doc"), F.col(PAGE).alias("from_page"), *kept)
+    return merged.select(F.col("_into").alias(DOC), (F.col("_start") + F.col("_rank")).cast("int").alias(PAGE), F.col(DOC).alias("from_doc"), F.col(PAGE).alias("from_page"), *kept)
 
 
 def numbered(pages: DataFrame, template: str, start: int = 1, spec: str | None = None, strict: bool = True) -> DataFrame:
