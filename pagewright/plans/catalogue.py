@@ -177,13 +177,11 @@ def dedupe_exact(spark, d):
 
 def dedupe_fixpoint(spark, d):
     """Parts of one brand and size are equal; suppliers of equal parts become equal in the next round."""
-    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     objects = table(spark, d, "nation").select(
         (F.col("n_nationkey") + 1000).cast("long").alias("num"), F.substring("n_name", 1, 1).alias("content")).unionByName(
         table(spark, d, "customer").select((F.col("c_custkey") + 10000).cast("long").alias("num"), F.col("c_mktsegment").alias("content")))
     refs = table(spark, d, "customer").select(
         (F.col("c_custkey") + 10000).cast("long").alias("src"), F.lit(0).alias("slot"), (F.col("c_nationkey") + 1000).cast("long").alias("dst"))
-    del lines
     return graph.dedupe(objects, refs)
 
 
@@ -278,7 +276,7 @@ def list_fields(spark, d):
 def set_fields(spark, d):
     events = table(spark, d, "events")
     name = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("form."), "event_type", F.lit("."), F.col("event_id").cast("string"))).when(F.col("event_id") % 4 == 1, F.col("event_id").cast("string")).otherwise("nothing")
-    values = events.where("event_id % 2 < 2").select(F.col("user_id").alias("doc_id"), name.alias("name"), F.lit("new").alias("value")).where("name <> 'nothing'")
+    values = events.select(F.col("user_id").alias("doc_id"), name.alias("name"), F.lit("new").alias("value")).where("name <> 'nothing'")
     return items.set_fields(_fields(spark, d), values)[0].select("doc_id", "num", "name", "value")
 
 
@@ -361,10 +359,86 @@ def corpus_scan(spark, d):
 
 
 def codec_roundtrip(spark, d):
-    """Every document through the writer and the reader again: pages, text and metadata come back."""
+    """Every document through the writer and the reader again, character by character."""
     from pagewright.sources import documents as docs_io
 
-    return docs_io.round_trip(spark, table(spark, d, "documents"))
+    return docs_io.round_trip(spark, table(spark, d, "documents")).select("doc_id", "n_pages", "same", "text_sha256")
+
+
+def encrypted_files(spark, d):
+    """Every document encrypted by each method, read with its password."""
+    from pagewright.sources import documents as docs_io
+
+    every = [docs_io.round_trip(spark, table(spark, d, "documents"), encryption={"method": m, "user": "open", "owner": "own"}).withColumn("method", F.lit(m)) for m in ("rc4", "aes128", "aes256")]
+    return every[0].unionByName(every[1]).unionByName(every[2]).select("doc_id", "method", "encrypted", "n_pages", "text_sha256")
+
+
+def damaged_files(spark, d):
+    """Every document without its last 40 bytes, where the way to its index is: objects are found by scanning."""
+    from pagewright.sources import documents as docs_io
+
+    every = [docs_io.round_trip(spark, table(spark, d, "documents"), lost=40, compress=c).withColumn("compressed", F.lit(c)) for c in (False, True)]
+    return every[0].unionByName(every[1]).select("doc_id", "compressed", "reconstructed", "n_pages", "text_sha256")
+
+
+def image_files(spark, d):
+    from pagewright.sources import documents as docs_io
+
+    return docs_io.image_round_trip(table(spark, d, "documents"))
+
+
+def _talk_files(spark, d):
+    from pagewright.sources import documents as docs_io
+
+    return docs_io.write(conversation_pages(spark, d).select(F.col("doc_id").cast("string").alias("name"), "page_ix", "text"))
+
+
+def _redact_all(name, file):
+    from pagewright.sources.codec import redaction
+
+    return redaction.redact_text(file, list(range(len(file.pages()))), "the")
+
+
+def redact_files(spark, d):
+    """Each word part "the" redacted in files of conversations; the pages as read again, and what is left of it."""
+    from pagewright.sources import documents as docs_io
+
+    back = docs_io.pages(docs_io.edited(_talk_files(spark, d), _redact_all))
+    return back.select(F.col("name").cast("bigint").alias("doc_id"), "page_ix", "text", S.count_matches(F.col("text"), "the").alias("n_left"))
+
+
+def _outline_pages(name, file):
+    from pagewright.operators.layout import _lines_of
+    from pagewright.sources.codec import content, edit
+
+    titles = ["\n".join(line["text"] for line in _lines_of(content.page_content(file, page)[0])) for _, page in file.pages()]
+    edit.set_bookmarks(file, [{"path": [k // 2] if k % 2 == 0 else [k // 2, 0], "title": t, "page": k} for k, t in enumerate(titles)])
+
+
+def bookmark_files(spark, d):
+    """An outline over the pages of each file, every second one below its predecessor, as read again."""
+    from pagewright.sources import documents as docs_io
+
+    back = docs_io.bookmarks(docs_io.edited(_talk_files(spark, d), _outline_pages))
+    return back.select(F.col("name").cast("bigint").alias("doc_id"), "page_ix", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "title")
+
+
+def field_files(spark, d):
+    """A form document for each user, a field for each event, as read again."""
+    from pagewright.sources import documents as docs_io
+
+    rows = _fields(spark, d).select(F.col("doc_id").cast("string").alias("name"), F.regexp_replace("name", r"\.", "-").alias("field"), "value")
+    back = docs_io.fields(docs_io.write_forms(rows))
+    return back.select(F.col("name").cast("bigint").alias("doc_id"), "field", "kind", F.coalesce("value", F.lit("")).alias("value"))
+
+
+def merge_files(spark, d):
+    """Five conversations a job, merged into one file; its pages in order."""
+    from pagewright.sources import batch, documents as docs_io
+
+    files = _talk_files(spark, d).select(F.lpad("name", 12, "0").alias("name"), "data", F.floor(F.col("name").cast("bigint") / 5).cast("string").alias("job"))
+    made = batch.run(presets.Preset("merged", mode="merge"), files)
+    return docs_io.pages(made.select(F.col("job").alias("name"), "data")).select(F.col("name").cast("bigint").alias("job"), "page_ix", "text")
 
 
 def preset_files(spark, d):
@@ -399,7 +473,8 @@ NAMES = (
     "word_diff name_stems document_bytes select_pages extract_pages select_odd select_even delete_pages reverse_pages move_page insert_blank split_every merge_docs "
     "page_numbers nup booklet indices_to_spec shift_bookmarks dedupe_exact dedupe_fixpoint reachable inherit_attr remap_refs flatten_tree name_tree "
     "image_display_size extract_first_use skip_reasons hit_test annot_select annot_remove flatten_split annot_pages list_fields set_fields bookmarks links "
-    "metadata_patch rect_algebra rotate_normalise resize_fit place_anchor matrix_inverse permissions output_names preset_pipeline corpus_scan codec_roundtrip preset_files object_types flate_roundtrip"
+    "metadata_patch rect_algebra rotate_normalise resize_fit place_anchor matrix_inverse permissions output_names preset_pipeline corpus_scan codec_roundtrip preset_files object_types flate_roundtrip "
+    "encrypted_files damaged_files image_files redact_files bookmark_files field_files merge_files"
 ).split()
 
 
@@ -411,8 +486,14 @@ def queries() -> dict:
 
 _LINES = "(SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line_ix FROM documents)"
 _PAGES = "(SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS page_ix, count(*) OVER (PARTITION BY conv_id) AS n, text FROM conversations)"
-_GLYPHS = f"""(SELECT doc_id, line_ix AS line_no, col, substr(text, col + 1, 1) AS ch, 72 + 7.2 * col::DOUBLE AS x0, 72 + 7.2 * (col + 1)::DOUBLE AS x1,
-  720 - 14.0::DOUBLE * line_ix AS baseline FROM (SELECT *, unnest(range(least(60, length(text)))) AS col FROM {_LINES} WHERE line_ix < 20))"""
+_GLYPHS = f"""(SELECT doc_id, line_ix AS line_no, line_ix // 45 AS page_ix, col, substr(text, col + 1, 1) AS ch, 72 + 7.2 * col::DOUBLE AS x0, 72 + 7.2 * (col + 1)::DOUBLE AS x1,
+  720 - 14.0::DOUBLE * (line_ix % 45) AS baseline FROM (SELECT *, unnest(range(length(text))) AS col FROM {_LINES}))"""
+# A text's lines as layout gives them back: runs of white space as one space, blank lines left out.
+_SHOWN = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10))"
+# Ligatures as letters, then typographic characters as plain ones.
+_FOLDED = "translate(replace(replace(replace(replace(replace(text, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), '{}', '{}')".format(S.FOLD_FROM, S.FOLD_TO.replace("'", "''"))
+# Characters that the Windows encoding lacks.
+_BEYOND = "regexp_matches(text, '[^\\x00-\\x7F\\xA0-\\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]')"
 _IMAGES = "(SELECT l_orderkey AS page_ix, l_linenumber AS op_ix, l_partkey AS xref, l_quantity AS w, l_extendedprice / 1000 AS h FROM lineitem)"
 _ANNOTS = "(SELECT user_id AS page_ix, event_id AS num, event_type AS subtype, value < 20 AS hidden, event_id % 3 <> 0 AS has_appearance FROM events)"
 _BOXES = f"(SELECT page_ix, op_ix, op_ix * 10.0::DOUBLE AS x0, 20.0::DOUBLE AS y0, op_ix * 10.0::DOUBLE + w * 10 AS x1, 20.0::DOUBLE + h * 10 AS y1 FROM {_IMAGES})"
@@ -437,9 +518,8 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT *, sum(k) OVER (PARTITION BY doc_id ORDER BY line_ix) AS p FROM m),
             q AS (SELECT doc_id, p, length(string_agg(text, chr(10) ORDER BY line_ix)) AS n FROM g GROUP BY doc_id, p)
             SELECT doc_id, count(*) AS n, sum(n)::BIGINT AS chars FROM q GROUP BY doc_id""",
-        "fold_text": "SELECT doc_id, '\"' || substr(text, 1, 200) || '\" - fin' AS folded FROM documents",
-        "measure_text": f"""SELECT doc_id, line_ix, round(12.0::DOUBLE / 1000 * coalesce(list_sum(list_transform(string_split(substr(text, 1, 40), ''), lambda c:
-            CASE WHEN c IN ('i', 'l') THEN 222 WHEN c = 'm' THEN 833 WHEN c = 'w' THEN 722 WHEN c = ' ' THEN 278 WHEN c = '' THEN 0 ELSE 556 END)), 0), 3) AS width FROM {_LINES}""",
+        "fold_text": f"SELECT doc_id, '\"' || {_FOLDED} || '\" - fin' AS folded FROM documents",
+        "measure_text": f"""SELECT doc_id, line_ix, round(12.0::DOUBLE / 1000 * (556 * length(text) - 334 * ({count('text', 'i')} + {count('text', 'l')}) + 277 * {count('text', 'm')} + 166 * {count('text', 'w')} - 278 * {count('text', ' ')}), 3) AS width FROM {_LINES}""",
         "name_stems": """SELECT doc_id, source || '.' || doc_id AS stem, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size,
             false AS flag FROM (SELECT *, n_chars * 300 AS b FROM documents)""",
         "document_bytes": "SELECT doc_id, CASE WHEN octet_length(encode(text)) = length(text) THEN length(text) ELSE 2 + 2 * length(text) END::BIGINT AS n_bytes, true AS same FROM documents",
@@ -465,14 +545,16 @@ def oracle_sql() -> dict[str, str]:
             i AS (SELECT *, ix - row_number() OVER (PARTITION BY user_id ORDER BY ix) AS k FROM d),
             r AS (SELECT user_id, min(ix) + 1 AS a, max(ix) + 1 AS b FROM i GROUP BY user_id, k)
             SELECT user_id, string_agg(CASE WHEN a = b THEN a::VARCHAR WHEN b = a + 1 THEN a || ', ' || b ELSE a || '-' || b END, ', ' ORDER BY a) AS spec FROM r GROUP BY user_id""",
-        "shift_bookmarks": f"SELECT doc_id, CASE WHEN page_ix >= 2 THEN page_ix + 3 ELSE page_ix END AS page_ix, substr(text, 1, 20) AS title FROM {_PAGES}",
+        "shift_bookmarks": f"SELECT doc_id, CASE WHEN page_ix >= 2 THEN page_ix + 3 ELSE page_ix END AS page_ix, text AS title FROM {_PAGES}",
         "dedupe_exact": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents",
         "dedupe_fixpoint": """WITH n AS (SELECT n_nationkey + 1000 AS num, min(n_nationkey + 1000) OVER (PARTITION BY n_name[1]) AS canonical FROM nation)
             SELECT num::BIGINT AS num, canonical::BIGINT AS canonical FROM n UNION ALL
             SELECT (c_custkey + 10000)::BIGINT, min(c_custkey + 10000) OVER (PARTITION BY c_mktsegment, canonical) FROM customer JOIN n ON n.num = c_nationkey + 1000""",
-        "reachable": """WITH RECURSIVE e AS (SELECT 'order:' || o_orderkey AS src, 'customer:' || o_custkey AS dst FROM orders UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer
+        "reachable": """WITH RECURSIVE l AS (SELECT *, 'lineitem:' || l_orderkey || '/' || l_linenumber AS node FROM lineitem),
+            e AS (SELECT node AS src, 'order:' || l_orderkey AS dst FROM l UNION ALL SELECT node, 'part:' || l_partkey FROM l UNION ALL SELECT node, 'supplier:' || l_suppkey FROM l
+              UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey FROM orders UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer
               UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
-            r AS (SELECT 'order:' || o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey % 10 = 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node)
+            r AS (SELECT 'order:' || o_orderkey AS node, 0 AS depth FROM orders UNION SELECT node, 0 FROM l UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node)
             SELECT node, min(depth) AS depth FROM r GROUP BY node""",
         "inherit_attr": """WITH r AS (SELECT r_regionkey + 1 AS num, r_regionkey * 90 % 360 AS rot FROM region),
             n AS (SELECT n_nationkey + 100 AS num, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey * 90 % 360 END, rot) AS rot FROM nation JOIN r ON r.num = n_regionkey + 1),
@@ -487,7 +569,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT xref, w, h, new_w, new_h, coalesce(pw > new_w * 1.2 AND ph > new_h * 1.2, false) AS shrink FROM t""",
         "extract_first_use": f"SELECT xref, page_ix, op_ix FROM (SELECT *, row_number() OVER (PARTITION BY xref ORDER BY page_ix, op_ix) AS r FROM {_IMAGES}) WHERE r = 1",
         "skip_reasons": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN p_size < 5 THEN 'too small' WHEN p_type LIKE 'PROMO%' THEN 'unsupported filter' WHEN p_retailprice > 1800 THEN 'mask' END AS reason FROM part) WHERE reason IS NOT NULL GROUP BY reason",
-        "hit_test": f"""WITH g AS (SELECT doc_id, line_no, col, x0, x1, baseline - 2.64::DOUBLE AS y0, baseline + 10.8::DOUBLE AS y1 FROM {_GLYPHS}),
+        "hit_test": f"""WITH g AS (SELECT doc_id, line_no, col, x0, x1, baseline - 2.64::DOUBLE AS y0, baseline + 10.8::DOUBLE AS y1 FROM {_GLYPHS} WHERE page_ix = 0),
             a(ax0, ay0, ax1, ay1) AS (VALUES (99.5::DOUBLE, 599.5::DOUBLE, 220.5::DOUBLE, 660.5::DOUBLE), (299.5, 689.5, 420.5, 705.5)),
             o AS (SELECT DISTINCT doc_id, line_no, col FROM g, a WHERE ((x0 + x1) / 2 BETWEEN ax0 AND ax1 AND (y0 + y1) / 2 BETWEEN ay0 AND ay1)
               OR greatest(0, least(x1, ax1) - greatest(x0, ax0)) * greatest(0, least(y1, ay1) - greatest(y0, ay0)) >= 0.25 * (x1 - x0) * (y1 - y0))
@@ -517,16 +599,26 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, part, 'talk-' || doc_id || '.out' || CASE WHEN total > 1 THEN '-' || (part + 1) ELSE '' END || '.pdf' AS out_name FROM p""",
         "preset_pipeline": f"""WITH r AS (SELECT doc_id, n - 1 - page_ix AS ix, n, text FROM {_PAGES})
             SELECT doc_id, ix // 3 AS part, ix % 3 AS page_ix, CASE WHEN ix % 2 = 0 THEN 90 ELSE 0 END AS rotation, text FROM r WHERE ix < n - 1""",
-        "codec_roundtrip": f"""SELECT doc_id, count(DISTINCT line_ix // 45) AS n_pages, true AS same FROM {_LINES}
-            WHERE trim(regexp_replace(substr(text, 1, 100), '\\s+', ' ', 'g')) <> '' GROUP BY doc_id""",
-        "preset_files": f"""WITH r AS (SELECT doc_id, n - 1 - page_ix AS ix, n, page_ix FROM {_PAGES})
-            SELECT doc_id, ix // 3 AS part, ix % 3 AS page_ix, 'turn' || page_ix AS turn, (ix + 1) || '/' || (n - 1) AS stamp FROM r WHERE ix < n - 1""",
-        "object_types": f"""WITH c AS (SELECT doc_id, max(n) AS n FROM {_PAGES} GROUP BY doc_id)
-            SELECT doc_id, 'dictionary' AS type, n + 3 AS n FROM c UNION ALL SELECT doc_id, 'stream', n FROM c""",
+        "codec_roundtrip": "SELECT doc_id, ((len(string_split(coalesce(text, ''), chr(10))) + 44) // 45)::BIGINT AS n_pages, true AS same, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+        "preset_files": f"""WITH r AS (SELECT doc_id, n - 1 - page_ix AS ix, n, {_SHOWN} AS turn FROM {_PAGES})
+            SELECT doc_id, ix // 3 AS part, ix % 3 AS page_ix, turn, (ix + 1) || '/' || (n - 1) AS stamp FROM r WHERE ix < n - 1""",
+        "object_types": f"""WITH c AS (SELECT doc_id, max(n) AS n, count(DISTINCT coalesce(text, '')) AS bodies, max({_BEYOND}::INT) AS k FROM {_PAGES} GROUP BY doc_id)
+            SELECT doc_id, 'dictionary' AS type, n + 3 + 2 * k AS n FROM c UNION ALL SELECT doc_id, 'stream', bodies + k FROM c""",
+        "encrypted_files": "SELECT doc_id, unnest(['rc4', 'aes128', 'aes256']) AS method, true AS encrypted, ((len(string_split(coalesce(text, ''), chr(10))) + 44) // 45)::BIGINT AS n_pages, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+        "damaged_files": "SELECT doc_id, unnest([false, true]) AS compressed, true AS reconstructed, ((len(string_split(coalesce(text, ''), chr(10))) + 44) // 45)::BIGINT AS n_pages, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+        "image_files": """WITH b AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents), h AS (SELECT *, greatest((n + 63) // 64, 1) AS h FROM b)
+            SELECT doc_id, 1::BIGINT AS n_images, 64::BIGINT AS width, h::BIGINT AS height, sha256(t || repeat(' ', (h * 64 - n)::INTEGER)) AS pixels_sha256 FROM h""",
+        "redact_files": f"""WITH r AS (SELECT doc_id, page_ix, {_SHOWN.replace("(l,", "(regexp_replace(l, 'the', ' ', 'gi'),")} AS text FROM {_PAGES})
+            SELECT doc_id, page_ix, text, {count('lower(text)', 'the')}::BIGINT AS n_left FROM r""",
+        "bookmark_files": f"SELECT doc_id, page_ix, CASE WHEN page_ix % 2 = 0 THEN (page_ix // 2)::VARCHAR ELSE (page_ix // 2) || '/0' END AS path, {_SHOWN} AS title FROM {_PAGES}",
+        "field_files": f"SELECT doc_id, replace(name, '.', '-') AS field, 'text' AS kind, coalesce(value, '') AS value FROM {_FIELDS}",
+        "merge_files": f"SELECT doc_id // 5 AS job, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id, page_ix) - 1 AS page_ix, {_SHOWN} AS text FROM {_PAGES}",
+        "flate_roundtrip": """SELECT doc_id, unnest(['FlateDecode', 'ASCIIHexDecode', 'ASCII85Decode', 'RunLengthDecode', 'ASCII85 of Flate', 'Flate with rows']) AS filter,
+            octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents""",
         "corpus_scan": "SELECT source, count(*) AS docs, sum((length(text) > 20)::INT)::BIGINT AS with_text, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest FROM documents GROUP BY source",
     }
 
 
 def _typed_lines() -> str:
-    return f"""WITH t AS (SELECT doc_id, line_no, trim(regexp_replace(string_agg(ch, '' ORDER BY col), '\\s+', ' ', 'g')) AS text, round(min(baseline), 2) AS baseline FROM {_GLYPHS} WHERE col < 30 GROUP BY doc_id, line_no)
+    return f"""WITH t AS (SELECT doc_id, line_ix AS line_no, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, round(720 - 14.0::DOUBLE * (line_ix % 45), 2) AS baseline FROM {_LINES})
             SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS line_ix, text, baseline FROM t WHERE text <> ''"""

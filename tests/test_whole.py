@@ -1,5 +1,6 @@
 """Queries do the whole job: results against plain versions on documents beyond the old cuts."""
 
+import hashlib
 import re
 
 import pytest
@@ -35,21 +36,34 @@ def test_lines_of_every_page(spark, long_docs, query):
 
 
 def test_whole_texts_come_back_from_files(spark, long_docs):
+    folder, texts = long_docs
+    got = {r.doc_id: (r.n_pages, r.same, r.text_sha256) for r in catalogue.codec_roundtrip(spark, folder).collect()}
+    pages = {1: 3, 2: 1, 3: 1, 4: 1}
+    assert got == {d: (pages[d], True, hashlib.sha256(t.encode()).hexdigest()) for d, t in texts.items()}
+
+
+AWKWARD = ["tab\there  two  ", "\r x", "(a) \\ b) (", "\x00\x1f\x81\xa0", "", "ﬁ 中 😀 €", "x" * 3000]
+
+
+@pytest.mark.parametrize("options", [{}, {"compress": False}, {"encryption": {"method": "aes256", "user": ""}}, {"encryption": {"method": "rc4", "user": ""}}])
+def test_every_character_comes_back(options):
     from pagewright.sources import documents
 
-    folder, texts = long_docs
-    got = {r.doc_id: (r.n_pages, r.same) for r in catalogue.codec_roundtrip(spark, folder).collect()}
-    assert got == {1: (3, True), 2: (1, True), 3: (1, True), 4: (1, True)}
-    assert documents._pieces("a" * 250) == ["a" * 100, "a" * 100, "a" * 50] and "".join(documents._pieces(texts[2])) == texts[2]
+    file = documents.container.load(documents._written([{"text": "\n".join(AWKWARD)}], options))
+    pages, lines = documents.read_back(file, 45)
+    assert pages == 1 and lines[: len(AWKWARD)] == AWKWARD and not any(lines[len(AWKWARD) :])
+
 
+def test_a_lost_character_is_noticed(spark, monkeypatch):
+    import pyarrow as pa
 
-def test_a_lost_character_is_noticed(monkeypatch):
     from pagewright.sources import documents
 
-    assert documents._comes_back([["one 中 two", "", "x" * 100]])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one 中 two\n\n" + "x" * 100, None]})
+    assert next(documents._trip_kernel(45, {})([batch])).column("same").to_pylist() == [True, True]
     write = documents._written
     monkeypatch.setattr(documents, "_written", lambda rows, options: write([{"text": r["text"].replace("中", "?")} for r in rows], options))
-    assert not documents._comes_back([["one 中 two", "", "x" * 100]])
+    assert next(documents._trip_kernel(45, {})([batch])).column("same").to_pylist() == [False, True]
 
 
 def test_files_hold_the_text_of_turns(spark, tmp_path):
@@ -91,32 +105,3 @@ def test_all_orders_and_line_items_lead_on(spark, sf_dir):
         found |= dict.fromkeys(frontier, depth)
     assert {r.node: r.depth for r in catalogue.reachable(spark, sf_dir).collect()} == found
     assert any(n.startswith("part:") for n in found)
-
-
-@pytest.mark.parametrize("kind,piece", [
-    ("ip", "8[.]8[.]8[.]8"), ("ip", "1 . 1 . 1 . 1"), ("email", "theresa.von.habsburg-lothringen(at)example(dot)org"), ("email", "jane(at)mail.research(dot)example(dot)org")])
-def test_the_model_sees_whole_segments(kind, piece):
-    from pagewright.llm import semicrf
-
-    text = f"one two {piece} three four"
-    assert [(text[a:b], k) for a, b, k in semicrf.found_spans(text, semicrf.trained(), [])] == [(piece, kind)]
-
-
-def test_long_repeated_and_digit_free_keys():
-    import random
-
-    from pagewright.llm import novelty
-
-    rng, meter = random.Random(4), novelty.Meter()
-    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    found = lambda text: [text[a:b] for a, b, _ in novelty.novel_spans(text, [], meter)]
-    upper, letters = "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    for n in (96, 128, 256):
-        k = key(upper, n)
-        assert found(f"the auth key {k} ends") == [k]
-    k = key(letters + "0123456789", 40)
-    assert found(f"auth credential {k} then bearer {k} end") == [k, k]
-    assert found(f"auth credential {k} " + "w " * 230 + f"bearer {k} end") == [k, k]  # the window cuts a copy
-    k = key(letters, 40)
-    assert found(f"bearer {k} end") == [k]
-    assert found("the auth key is getDefaultConfigurationValue and Authentication_Manager_Configuration and " + "Ab1" * 40) == []
