@@ -84,6 +84,61 @@ def test_presets_over_a_table(spark, tmp_path, capsys):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a-1.pdf", "a-2.pdf"]
 
 
+def test_commands_over_a_folder(spark, tmp_path, capsys):
+    from pagewright.__main__ import main
+    from pagewright.sources.codec import edit, images
+
+    folder, k = tmp_path / "in", iter(range(100))
+    folder.mkdir()
+    file = container.load(make(3, "Word"))
+    edit.add_field(file, 0, "who", (72, 300, 200, 320))
+    edit.add_annotation(file, 1, "Square", (10, 10, 50, 50), "note")
+    (folder / "a.pdf").write_bytes(container.save(file))
+    (folder / "b.pdf").write_bytes(make(2, "Other"))
+
+    def run(command, *more, source=folder, password=None):
+        out = tmp_path / f"out{next(k)}"
+        main([command, str(source), str(out), *more, *(["--password", password] if password else [])])
+        return {p.name: p.read_bytes() for p in sorted(out.iterdir())}, out
+
+    def rows(command, source, *more):
+        capsys.readouterr()
+        main([command, str(source), *more])
+        return [json.loads(line) for line in capsys.readouterr().out.splitlines()]
+
+    opened = lambda made, name="a.pdf", password="": container.load(made[name], password)
+    made, out = run("fill", "--set", "who=Ada", "--set", "nobody=x")
+    assert [(r["field"], r["value"]) for r in rows("fields", out)] == [("who", "Ada")]
+    assert edit.fields(opened(run("fill", "--set", "who=Ada", "--flatten")[0])) == []
+    assert [(r["page_ix"], r["contents"]) for r in rows("annots", folder) if r["subtype"] == "Square"] == [(1, "note")]
+    tree = tmp_path / "tree.json"
+    tree.write_text(json.dumps([{"path": [0], "title": "é", "page": 1}]))
+    made, out = run("set-bookmarks", str(tree))
+    assert [(r["title"], r["page_ix"]) for r in rows("bookmarks", out) if r["name"] == "a.pdf"] == [("é", 1)]
+    assert rows("bookmarks", run("set-bookmarks", source=out)[1]) == []
+    made, out = run("redact", "--text", "word", "-i", "--pages", "1-2", "--area", "3:0,0,612,792")
+    assert [r["page_ix"] for r in rows("search", out, "word", "-i")] == [] and b"".join(t.encode() for t in texts(made["b.pdf"]))
+    with pytest.raises(SystemExit):
+        run("redact")
+    assert [len(opened(run(*args)[0]).pages()) for args in (("pages", "1,last"), ("delete", "1"), ("reverse",), ("blank", "--at", "1", "--count", "2"), ("nup",), ("booklet",), ("rotate", "90"), ("stamp", "hi"), ("numbers",))] == [2, 2, 3, 5, 2, 2, 3, 3, 3]
+    assert sorted(run("split", "--every", "1")[0]) == ["a-1.pdf", "a-2.pdf", "a-3.pdf", "b-1.pdf", "b-2.pdf"]
+    assert len(opened(run("merge")[0], "a-merged.pdf").pages()) == 5
+    assert opened(run("meta", "--title", "T")[0]).metadata()["title"] == "T"
+    assert opened(run("crop", "10,20,100,200")[0]).pages()[0][1]["CropBox"] == [10, 20, 110, 220]
+    assert edit.page_at(opened(run("resize", "--size", "a5")[0]), 0)["MediaBox"][2] < 430
+    made, out = run("encrypt", "--user", "pw", "--owner", "o", "--deny", "print")
+    locked = opened(made, password="pw")
+    assert locked.encrypted and locked.permissions & 4 == 0 and not opened(run("decrypt", source=out, password="pw")[0]).encrypted
+    (folder / "p.png").write_bytes(images.encode_png(np.full((4, 6, 3), 9, np.uint8)))
+    made, out = run("images", "--dpi", "72")
+    assert list(made) == ["p.pdf"] and [n.endswith(".png") for n in run("extract-images", source=out)[0]] == [True]
+    capsys.readouterr()
+    main(["presets"])
+    assert "split-single-pages" in capsys.readouterr().out
+    main(["presets", str(tmp_path / "all.json")])
+    assert "merge" in json.loads((tmp_path / "all.json").read_text())
+
+
 def tiny_font():
     """Three glyphs: none, A (a box) and Á (made of A)."""
     box = struct.pack(">hhhhh", 1, 0, 0, 500, 700) + struct.pack(">HH", 3, 0) + bytes([1] * 4) + struct.pack(">hhhh", 0, 500, 0, -500) + struct.pack(">hhhh", 0, 0, 700, 0)
