@@ -17,7 +17,7 @@ CUT = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier, trained on the labels at hand, scores below ``CUT``."""
     model = discriminant.train(docs, table(spark, sf_dir, "labels"))
-    return discriminant.scored(docs, model, out="_quality").where(F.col("_quality") >= CUT).drop("_quality")
+    return discriminant.good(docs, model, cut=CUT)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
