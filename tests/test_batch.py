@@ -175,3 +175,24 @@ def test_fonts():
     assert [fonts.glyph_text(n) for n in ("A", "eacute", "Scaron", "uni20AC", "u1F600", "comma", "fi", "nosuch", "a.alt")] == ["A", "é", "Š", "€", "😀", ",", "ﬁ", None, "a"]
     assert fonts.standard_name("Arial Bold Italic") == "Helvetica-BoldOblique" and fonts.standard_name("times") == "Times-Roman" and fonts.standard_name("Wingdings") is None
     assert fonts.encoding("WinAnsiEncoding", 0x80) == "€" and fonts.encoding("MacRomanEncoding", 0x8E) == "é"
+
+
+def test_encodings_and_advances_of_standard_fonts():
+    from pagewright.sources.codec import metrics
+    from pagewright.sources.codec.values import Name
+
+    assert [fonts.encoding("StandardEncoding", c) for c in (0x27, 0x60, 0x41, 0xA4, 0xA9, 0xAE, 0xB0, 0xD0, 0xE1, 0xFB, 0xFF)] == ["’", "‘", "A", "⁄", "'", "ﬁ", None, "—", "Æ", "ß", None]
+    assert [fonts.encoding("Symbol", c) for c in (0x22, 0x61, 0x7E, 0xA3, 0xA5, 0xAA, 0xB3, 0xD6, 0xF2, 0xFF)] == ["∀", "α", "∼", "≤", "∞", None, "≥", "√", "∫", None]
+    known = {("A", "Times-Roman"): 722, ("é", "Times-Roman"): 444, ("–", "Helvetica"): 556, ("Ž", "Helvetica"): 611, ("m", "Courier-Bold"): 600, ("W", "Helvetica-BoldOblique"): 944, ("¦", "Times-Bold"): 220, ("w", "ABCDEF+Arial"): 722}
+    assert {k: metrics.advance(*k) for k in known} == known
+
+    def shown(font, data):
+        file = container.new_file()
+        container.add_page(file, b"BT /F1 10 Tf 10 10 Td <" + data.hex().encode() + b"> Tj ET", {"Font": {"F1": file.add({"Type": Name("Font"), **font})}})
+        file = container.load(container.save(file))
+        return "".join(g["text"] for g in content.page_content(file, file.pages()[0][1])[0])
+
+    assert shown({"Subtype": Name("Type1"), "BaseFont": Name("Symbol")}, b"ab\xa5") == "αβ∞"
+    assert shown({"Subtype": Name("Type1"), "BaseFont": Name("Times-Roman")}, b"a'\xae") == "a’ﬁ"
+    assert shown({"Subtype": Name("TrueType"), "BaseFont": Name("Any")}, b"a'\x80") == "a'€"
+    assert shown({"Subtype": Name("Type1"), "BaseFont": Name("X"), "Encoding": {"BaseEncoding": Name("MacRomanEncoding"), "Differences": [65, Name("eacute"), Name("nosuch"), 67, Name("uni4E2D")]}}, b"ABCD\x8e") == "é中Dé"
