@@ -42,8 +42,10 @@ from . import textkernels as T
 from .scratch import ship, stored
 
 ANCHOR = 10
-#: Automaton hits that are checked at once; bounds the memory of a check.
-HITS = 1 << 14
+#: Characters that stand for a word in an automaton, and bits of its number in each.
+SYMBOLS, BITS = 3, 7
+#: Proposals that are checked at once; bounds the memory of a check.
+PROPOSALS = 1 << 17
 SEGMENT = pa.struct([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("o", pa.int32()), ("n", pa.int32())])
 SEGMENT_DDL = "array<struct<h:bigint,a:bigint,b:bigint,o:int,n:int>>"
 LAST = (1 << 63) - 1
@@ -130,6 +132,14 @@ def _phrases(length: int, wanted: T.Bitmap, several: T.Bitmap):
     return kernel
 
 
+def _symbols(numbers: np.ndarray) -> str:
+    """Words as ``SYMBOLS`` characters each. A node of the automaton scans its children, so they have to be few;
+    first characters have a range of their own, so that matches begin at words."""
+    parts = np.stack([(numbers >> T.U(BITS * k)) & T.U((1 << BITS) - 1) for k in range(SYMBOLS)], axis=1).astype(np.uint16)
+    parts[:, 0] += 1 << BITS
+    return parts.astype("<u2").tobytes().decode("utf-16-le")
+
+
 class _Passages:
     """The confirmed passages of a shard, found through an automaton of their phrases.
 
@@ -142,10 +152,10 @@ class _Passages:
     def __init__(self, table: pa.Table):
         told = table.filter(pc.is_valid(table.column("phrase")))
         hashes, first = np.unique(told.column("h").to_numpy(), return_index=True)
-        words = told.column("phrase").combine_chunks().flatten().to_numpy().reshape(-1, ANCHOR)[first].tolist()
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k, phrase in enumerate(words):
-            self.automaton.add_word(tuple(phrase), k)
+        words = _symbols(told.column("phrase").combine_chunks().flatten().to_numpy().reshape(-1, ANCHOR)[first].ravel().astype(T.U))
+        self.automaton, long = ahocorasick.Automaton(ahocorasick.STORE_INTS), ANCHOR * SYMBOLS
+        for k in range(len(hashes)):
+            self.automaton.add_word(words[k * long : (k + 1) * long], k)
         if words:
             self.automaton.make_automaton()
         table = table.filter(pc.is_valid(table.column("off")))
@@ -172,13 +182,14 @@ class _Passages:
         none = np.zeros(len(words), bool)
         if not len(self.key) or len(words) < ANCHOR:
             return none
-        hits = np.fromiter(chain.from_iterable(self.automaton.iter(tuple(_numbers(words).tolist()))), np.int64).reshape(-1, 2)
+        hits = np.fromiter(chain.from_iterable(self.automaton.iter(_symbols(_numbers(words)))), np.int64).reshape(-1, 2)
         if not len(hits):
             return none
         grams = T.Grams(words)
         change = np.zeros(len(words) + 1, np.int64)
-        for some in np.array_split(hits, -(-len(hits) // HITS)):
-            end, phrase = some[:, 0], some[:, 1]
+        total = np.cumsum(self.shape_end[hits[:, 1]] - self.shape_at[hits[:, 1]])
+        for some in np.split(hits, np.searchsorted(total, np.arange(PROPOSALS, total[-1], PROPOSALS))):
+            end, phrase = (some[:, 0] + 1) // SYMBOLS - 1, some[:, 1]
             tries = self.shape_end[phrase] - self.shape_at[phrase]
             shape = np.repeat(self.shape_at[phrase], tries) + np.arange(int(tries.sum())) - np.repeat(np.cumsum(tries) - tries, tries)
             place = np.repeat(end - ANCHOR + 1, tries)

@@ -134,8 +134,8 @@ def test_occurrences_come_from_the_automaton():
     # Found in both texts, though no position was given for either.
     assert np.flatnonzero(known.covered(words, at, np.array([9, 8]))).tolist() == [*range(3, 53), *range(64, 114)]
     assert not known.covered(words, at, np.array([7, 6])).any()
-    known.automaton = phrases.ahocorasick.Automaton(phrases.ahocorasick.STORE_INTS, phrases.ahocorasick.KEY_SEQUENCE)
-    known.automaton.add_word((1, 2, 3), 0)
+    known.automaton = phrases.ahocorasick.Automaton(phrases.ahocorasick.STORE_INTS)
+    known.automaton.add_word("another phrase", 0)
     known.automaton.make_automaton()
     assert not known.covered(words, at, np.array([9, 8])).any()
 
