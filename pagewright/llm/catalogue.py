@@ -107,6 +107,23 @@ hit AS (
   SELECT r, h || q AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || q) DESC) AS k
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM hit WHERE k = 1) USING (r)""",
+        "op8_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+-- A text stands for its copies: rows of equal words, or of equal texts where there are no words.
+k AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY CASE WHEN len(w) > 0 THEN 'w' || array_to_string(w, ' ') ELSE 't' || t END) AS node FROM d),
+g AS (
+  SELECT DISTINCT node, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT node, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM k WHERE doc_id = node AND len(w) > 0)),
+n AS (SELECT node, count(*) AS n FROM g GROUP BY node),
+link AS (
+  SELECT a.node AS u, b.node AS v FROM g a JOIN g b ON a.s = b.s AND a.node < b.node JOIN n x ON x.node = a.node JOIN n y ON y.node = b.node
+  GROUP BY a.node, b.node, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*)) - 1e-9),
+edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach(node, root) AS (SELECT node, node FROM k WHERE doc_id = node UNION SELECT e.v, r.root FROM reach r JOIN edge e ON e.u = r.node),
+class AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM k JOIN class USING (node)""",
         "op9_decontamination": r"""
 WITH f AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 b AS (
