@@ -10,14 +10,17 @@ the conditional likelihood of generated examples with entities in forms that the
 base patterns miss, next to decoys (dates, prices, versions, years). Found
 segments that touch no base span are added.
 
-Matching and decoding are linear in the text: patterns start at the first
-character of a run only, and segments are bounded.
+Matching and decoding are linear in the text, and hold a few numbers a token:
+patterns start at the first character of a run only, segments are bounded, and
+features are made for a block of tokens at a time.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -139,33 +142,85 @@ def _features(text: str, start: int, end: int, kind: str) -> np.ndarray | None:
     return x
 
 
-def _lattice(text: str, low: int, high: int):
-    """Token bounds in [low, high) and the candidate segments (i, j, kind number, features) between them."""
-    bounds = [m.start() for m in _TOKEN.finditer(text, low, high)] + [high]
-    blank = [text[b].isspace() for b in bounds[:-1]]
-    digits, letters, ats = [0], [0], [0]  # up to each bound; no segment of a kind lacks what the kind needs
-    for a, b in zip(bounds, bounds[1:]):
-        token = text[a:b]
-        digits.append(digits[-1] + (b - a if "0" <= token[0] <= "9" else 0))
-        letters.append(letters[-1] + token[0].isalpha())
-        ats.append(ats[-1] + (token == "@" or token.lower() == "at"))
-    found = []
-    for i in range(len(bounds) - 1):
-        first = text[bounds[i]]
-        if blank[i] or not (first.isalnum() or first in "+("):
-            continue
-        for j in range(i + 1, min(i + LONGEST, len(bounds) - 1) + 1):
-            if blank[j - 1] or not text[bounds[j] - 1].isalnum():
+class _Tokens:
+    """Bounds of the tokens in [low, high) of a text, and counts up to each bound; a few numbers a token."""
+
+    def __init__(self, text: str, low: int, high: int):
+        self.text, self.bounds = text, array("q", (m.start() for m in _TOKEN.finditer(text, low, high)))
+        self.n = len(self.bounds)
+        self.bounds.append(high)
+        self.blank = bytearray(text[b].isspace() for b in self.bounds[: self.n])
+        self.digits, self.letters, self.ats = array("q", [0]), array("q", [0]), array("q", [0])
+        for a, b in zip(self.bounds, self.bounds[1:]):
+            first = text[a]
+            self.digits.append(self.digits[-1] + (b - a if "0" <= first <= "9" else 0))
+            self.letters.append(self.letters[-1] + first.isalpha())
+            self.ats.append(self.ats[-1] + (b - a <= 2 and text[a:b].lower() in ("@", "at")))
+
+    def starting(self, i: int, reach: dict[int, int]) -> list[tuple]:
+        """Candidate segments (i, j, kind number, features) from token ``i``; no segment of a kind lacks what the kind needs.
+
+        An address without spaces that lies in a longer one is no candidate: ``reach``
+        has, by start, the farthest end of such addresses so far.
+        """
+        first, found = self.text[self.bounds[i]], []
+        if self.blank[i] or not (first.isalnum() or first in "+("):
+            return found
+        spaced = False
+        for j in range(i + 1, min(i + LONGEST, self.n) + 1):
+            spaced = spaced or bool(self.blank[j - 1])
+            if self.blank[j - 1] or not self.text[self.bounds[j] - 1].isalnum():
                 continue
-            d, numeric = digits[j] - digits[i], letters[j] == letters[i]
-            may = (ats[j] > ats[i], numeric and 4 <= d <= 12, numeric and 12 <= d <= 19, numeric and 7 <= d <= 19)
+            d, numeric = self.digits[j] - self.digits[i], self.letters[j] == self.letters[i]
+            may = (self.ats[j] > self.ats[i], numeric and 4 <= d <= 12, numeric and 12 <= d <= 19, numeric and 7 <= d <= 19)
             for k, kind in enumerate(KINDS):
-                x = _features(text, bounds[i], bounds[j], kind) if may[k] else None
+                x = _features(self.text, self.bounds[i], self.bounds[j], kind) if may[k] else None
                 if x is not None:
                     found.append((i, j, k, x))
-    whole = [f[:2] for f in found if KINDS[f[2]] == "email" and not any(blank[f[0] : f[1]])]
-    part = {w for w in whole if any(v != w and v[0] <= w[0] and w[1] <= v[1] for v in whole)}  # of a longer address without spaces
-    return bounds, [f for f in found if KINDS[f[2]] != "email" or f[:2] not in part]
+                    if kind == "email" and not spaced:
+                        reach[i] = j
+        inside = max((end for start, end in reach.items() if start < i), default=-1)
+        for old in [start for start in reach if start < i - LONGEST]:
+            del reach[old]
+        part = lambda f: KINDS[f[2]] == "email" and not any(self.blank[f[0] : f[1]]) and (f[1] < reach.get(i, -1) or f[1] <= inside)
+        return [f for f in found if not part(f)]
+
+
+def _lattice(text: str, low: int, high: int):
+    """Token bounds in [low, high) and the candidate segments between them."""
+    tokens, reach = _Tokens(text, low, high), {}
+    return list(tokens.bounds), [f for i in range(tokens.n) for f in tokens.starting(i, reach)]
+
+
+BLOCK = 512
+
+
+def _decode(tokens: _Tokens, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation, as (i, j, kind number), by pushing from each token on; features are held for a block of tokens.
+
+    Of equal values a token outside entities comes first, then the segment that begins first.
+    """
+    best, start, label, reach = array("d", bytes(8 * (tokens.n + 1))), array("q", [-1]) * (tokens.n + 1), bytearray(tokens.n + 1), {}
+    for k in range(1, tokens.n + 1):
+        best[k] = -math.inf
+    for low in range(0, tokens.n, BLOCK):
+        found = [tokens.starting(i, reach) for i in range(low, min(low + BLOCK, tokens.n))]
+        score = iter(_scores([f for own in found for f in own], weights).tolist())
+        for i, own in enumerate(found, low):
+            for _, j, k, _ in own:
+                value = best[i] + next(score)
+                if value > best[j]:
+                    best[j], start[j], label[j] = value, i, k
+            if best[i] >= best[i + 1]:
+                best[i + 1], start[i + 1] = best[i], -1
+    out, j = [], tokens.n
+    while j > 0:
+        if start[j] < 0:
+            j -= 1
+        else:
+            out.append((start[j], j, label[j]))
+            j = start[j]
+    return out[::-1]
 
 
 def _scores(found, weights: np.ndarray) -> np.ndarray:
@@ -301,14 +356,12 @@ def _regions(text: str) -> list[tuple[int, int]]:
 def found_spans(text: str, weights: np.ndarray, base: list[S.Span]) -> list[S.Span]:
     """The model's segments that touch no base span."""
     added: list[S.Span] = []
+    taken = S.Taken(base)
     for low, high in _regions(text):
-        bounds, found = _lattice(text, low, high)
-        if not found:
-            continue
-        for c in _best(bounds, found, _scores(found, weights)):
-            i, j, k, _ = found[c]
-            if not S.overlaps(bounds[i], bounds[j], base):
-                added.append((bounds[i], bounds[j], KINDS[k]))
+        tokens = _Tokens(text, low, high)
+        for i, j, k in _decode(tokens, weights):
+            if not taken.meets(tokens.bounds[i], tokens.bounds[j]):
+                added.append((tokens.bounds[i], tokens.bounds[j], KINDS[k]))
     return added
 
 
