@@ -91,12 +91,13 @@ def novel_spans(text: str, base: list[S.Span], meter: Meter, ratio: float = 0.7)
     if not _SENSITIVE.search(text):
         return []
     added: list[S.Span] = []
+    taken = S.Taken(base)
     for hit in _RUN.finditer(text):
         start, end = hit.span()
         run = hit[0].rstrip(".=-")
         end = start + len(run)
         kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run))
-        if len(run) < 16 or sum(kinds) < 2 or S.overlaps(start, end, base):
+        if len(run) < 16 or sum(kinds) < 2 or taken.meets(start, end):
             continue
         if _SENSITIVE.search(text, max(0, start - NEAR), start) and meter.added(text, start, end) >= ratio * len(run):
             added.append((start, end, "novel"))
