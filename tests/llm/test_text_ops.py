@@ -98,6 +98,58 @@ def test_viterbi_is_the_best_of_all_segmentations():
             assert math.isclose(sum(score[c] for c in semicrf._best(bounds, found, score)), best(0), abs_tol=1e-9)
 
 
+# Lines written by hand, with the segment that is personal data and its kind; none comes from the training generator.
+LINES = [
+    ("Please ring Mrs. Ode at (415) 555-0132 before noon.", "(415) 555-0132", "phone"), ("My mobile is 212-555-0187, call any time", "212-555-0187", "phone"),
+    ("fax 646.555.0111 or visit us", "646.555.0111", "phone"), ("write to peter.pan [at] neverland [dot] org for details", "peter.pan [at] neverland [dot] org", "email"),
+    ("contact: wendy (at) home (dot) net", "wendy (at) home (dot) net", "email"), ("the host 10[.]0[.]12[.]7 did not answer", "10[.]0[.]12[.]7", "ip"),
+    ("server address 192 . 168 . 1 . 20 is down", "192 . 168 . 1 . 20", "ip"), ("paid with card 4111.1111.1111.1111 yesterday", "4111.1111.1111.1111", "card"),
+    ("It was founded in 1987 and sold in 2004 for 3.5 million.", None, None), ("Version 2.10.3 replaces 2.9.11 on 2024-05-06.", None, None),
+    ("The train leaves at 10:45 from platform 12.", None, None), ("He looked at example.com for 20 minutes.", None, None), ("Order #123456789 weighs 12.5 kg, see page 44.", None, None),
+    ("We met at noon; 3 of 10 agreed, 7 did not.", None, None), ("ISBN 0-306-40615-2 costs $45.90 in shops.", None, None),
+]
+
+
+def test_model_on_lines_written_by_hand():
+    weights, right, wrong = semicrf.trained(), 0, []
+    for text, piece, kind in LINES:
+        got = [(text[a:b], k) for a, b, k in semicrf.found_spans(text, weights, semicrf.base_spans(text))]
+        want = [(piece, kind)] if piece else []
+        right += got == want
+        wrong += [(text, got)] * (got != want)
+    assert right >= len(LINES) - 2, wrong
+
+
+def test_decoding_in_blocks_is_the_best_segmentation(monkeypatch):
+    rng, weights = random.Random(8), semicrf.trained()
+    monkeypatch.setattr(semicrf, "BLOCK", 3)
+    for _ in range(60):
+        text = " ".join(semicrf._example(rng)[0] for _ in range(3))
+        bounds, found = semicrf._lattice(text, 0, len(text))
+        score = semicrf._scores(found, weights)
+        best = [found[c][:3] for c in semicrf._best(bounds, found, score)]
+        assert semicrf._decode(semicrf._Tokens(text, 0, len(text)), weights) == best
+
+
+def test_very_long_texts_and_empty_tables(spark):
+    import time
+    import tracemalloc
+
+    weights = semicrf.trained()
+    for text in ("7 " * 40_000, "a@b.c at x.y " * 5_000, "555-0100, " * 8_000):
+        tracemalloc.start()
+        begun = time.time()
+        semicrf.found_spans(text, weights, semicrf.base_spans(text))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 << 20 and time.time() - begun < 120
+    secret = "token = " + "k" * 14 + " "
+    text = secret * 20_000 + "the auth key Zx93kLmQ82pQvR7tY1aB"
+    assert novelty.novel_spans(text, novelty.base_spans(text), novelty.Meter())[-1][2] == "novel"
+    none = frame(spark, [(1, "x")]).limit(0)
+    assert semicrf.personal_data(none).count() == 0 and novelty.secrets(none).count() == 0
+
+
 def test_novelty_reports_keys_and_not_names(spark):
     docs = [(1, "auth header Zx93kLmQ82pQvR7tY1aB next"), (2, "private key ID_default_configuration_value_1 x"), (3, "plain Zx93kLmQ82pQvR7tY1aB"), (4, None), (None, "")]
     by = {r.doc_id: r.spans for r in novelty.secrets(frame(spark, docs)).collect()}
