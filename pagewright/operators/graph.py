@@ -7,26 +7,14 @@ collected, and lineage is cut in the checkpoint folder between rounds.
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .storage import checkpointed
+
 ROUNDS = 6  # of the duplicate search
 HOPS = 64  # of inheritance
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's checkpoint folder; one process on one machine may do without a named folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-"))
-    return df.checkpoint()
-
-
 def running_totals(rows: DataFrame, groups: list[str], order: list[str], amount: str, out: str) -> DataFrame:
     """``rows`` with the sum of ``amount`` over the rows before them in their group, by ``order``; ties in any order.
 

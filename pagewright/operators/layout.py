@@ -72,12 +72,54 @@ def _lines_of(rows: list[dict], spots: bool = False) -> list[dict]:
     return [o for o in out if o["text"]]
 
 
+def _level_lines(text: list[str], x0, y0, x1, y1, baseline, size, space) -> list[dict]:
+    """``_lines_of`` for upright glyphs, as arrays: lines take whole levels of equal baseline, since a glyph
+    that may join makes its level's others join too."""
+    order = np.lexsort((x0, -baseline))
+    level = np.flatnonzero(np.concatenate([[True], np.diff(baseline[order]) != 0]))
+    ends = np.append(level[1:], len(order))
+    groups, total, count, largest = [], 0.0, 0, 0.0
+    for a, b in zip(level.tolist(), ends.tolist()):
+        base, first = float(baseline[order[a]]), float(size[order[a]])
+        if groups and abs(base - total / count) <= NEW_LINE * max(largest, first):
+            groups[-1][1] = b
+        else:
+            groups.append([a, b])
+            total, count, largest = 0.0, 0, 0.0
+        total, count, largest = total + base * (b - a), count + b - a, max(largest, float(size[order[a:b]].max()))
+    out = []
+    for a, b in groups:
+        own = order[a:b]
+        own = own[np.argsort(x0[own], kind="stable")]
+        gap = np.zeros(len(own), bool)
+        gap[1:] = x0[own][1:] - x1[own][:-1] > np.maximum(0.5 * space[own][1:], 0.12 * size[own][1:])
+        parts, spaced = [], False  # spaced: the text so far ends with a space
+        for k, wide in zip(own.tolist(), gap.tolist()):
+            shown = text[k]
+            if wide and not spaced and shown != " ":
+                parts.append(" ")
+                spaced = True
+            if not spaced or not shown.isspace():
+                parts.append(shown)
+                spaced = shown.endswith(" ")
+        line = "".join(parts).strip()
+        if line:
+            out.append({"text": line, "x0": x0[own].min(), "y0": y0[own].min(), "x1": x1[own].max(), "y1": y1[own].max(), "baseline": baseline[own[0]], "size": np.sort(size[own])[len(own) // 2]})
+    return out
+
+
 def _lines_table(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    made = _lines_of(rows)
+    has = set(table.column_names)
+    column = lambda c: table.column(c).to_numpy()
+    level = ("dy" not in has or not np.any(column("dy"))) and ("dx" not in has or np.all(column("dx") > 0))
+    if level:
+        space = column("space_width") if "space_width" in has else np.zeros(len(table))
+        made = _level_lines(table.column("text").to_pylist(), *(column(c) for c in ("x0", "y0", "x1", "y1", "baseline", "size")), space)
+    else:
+        made = _lines_of(table.to_pylist())
     names = ["text", "x0", "y0", "x1", "y1", "baseline", "size"]
     n = len(made)
-    columns = {"doc_id": pa.array([rows[0]["doc_id"]] * n, pa.int64()), "page_ix": pa.array([rows[0]["page_ix"]] * n, pa.int32()), "line_ix": pa.array(np.arange(n, dtype=np.int32))}
+    columns = {"doc_id": pa.array([table.column("doc_id")[0].as_py()] * n, pa.int64()), "page_ix": pa.array([table.column("page_ix")[0].as_py()] * n, pa.int32()), "line_ix": pa.array(np.arange(n, dtype=np.int32))}
     columns |= {c: pa.array([m[c] for m in made], pa.string() if c == "text" else pa.float64()) for c in names}
     return pa.table(columns)
 
@@ -88,25 +130,30 @@ def lines(glyphs: DataFrame) -> DataFrame:
     A page is the unit of work and is bounded by what a page holds; documents
     spread over the cluster.
     """
-    return glyphs.groupBy(*PAGE).applyInArrow(_lines_table, LINE)
+    used = [c for c in (*PAGE, "text", "x0", "y0", "x1", "y1", "baseline", "size", "dx", "dy", "space_width") if c in glyphs.columns]
+    return glyphs.select(*used).groupBy(*PAGE).applyInArrow(_lines_table, LINE)
 
 
 def lines_by_gap(glyphs: DataFrame) -> DataFrame:
     """Lines of upright text in built-in operators: a new line where the baseline moves from its predecessor's.
 
-    Equal to ``lines`` where baselines within a line are level.
+    Equal to ``lines`` where baselines within a line are level. Glyphs are gathered
+    by baseline first, so windows see a row a baseline and not a row a glyph.
     """
-    order = Window.partitionBy(*PAGE).orderBy(F.col("baseline").desc(), "x0")
-    moved = F.abs(F.col("baseline") - F.lag("baseline").over(order)) > NEW_LINE * F.greatest("size", F.lag("size").over(order))
-    island = glyphs.withColumn("_new", F.coalesce(moved.cast("int"), F.lit(0))).withColumn(
+    glyph = F.struct("x0", "x1", "size", "text")
+    level = glyphs.groupBy(*PAGE, "baseline").agg(
+        F.collect_list(glyph).alias("_g"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("size").alias("size"),
+        F.min_by("size", "x0").alias("_first"), F.max_by("size", "x0").alias("_last"))
+    order = Window.partitionBy(*PAGE).orderBy(F.col("baseline").desc())
+    moved = F.abs(F.col("baseline") - F.lag("baseline").over(order)) > NEW_LINE * F.greatest("_first", F.lag("_last").over(order))
+    island = level.withColumn("_new", F.coalesce(moved.cast("int"), F.lit(0))).withColumn(
         "line_ix", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    along = Window.partitionBy(*PAGE, "line_ix").orderBy("x0")
-    gap = F.col("x0") - F.lag("x1").over(along) > 0.12 * F.col("size")
-    spaced = island.withColumn("_t", F.when(gap & (F.col("text") != " ") & (F.lag("text").over(along) != " "), F.concat(F.lit(" "), "text")).otherwise(F.col("text")))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", F.col("_t").alias("t")))), lambda g: g["t"]), "")
-    return spaced.groupBy(*PAGE, "line_ix").agg(
-        F.trim(F.regexp_replace(text, r"(?U)\s+", " ")).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"),
-        F.max("y1").alias("y1"), F.max("baseline").alias("baseline"), F.max("size").alias("size")).where("text <> ''")
+    merged = island.groupBy(*PAGE, "line_ix").agg(
+        F.array_sort(F.flatten(F.collect_list("_g"))).alias("_g"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        F.max("baseline").alias("baseline"), F.max("size").alias("size"))
+    # A gap of 0.12 of the size between two characters that are no spaces becomes a space.
+    text = F.expr("""array_join(transform(_g, (g, i) -> if(i > 0 and g.text <> ' ' and _g[i - 1].text <> ' ' and g.x0 - _g[i - 1].x1 > 0.12 * g.size, concat(' ', g.text), g.text)), '')""")
+    return merged.select(*PAGE, "line_ix", F.trim(F.regexp_replace(text, r"(?U)\s+", " ")).alias("text"), "x0", "y0", "x1", "y1", "baseline", "size").where("text <> ''")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
@@ -129,6 +176,32 @@ def words(glyphs: DataFrame, line: str = "line_no") -> DataFrame:
     return boxed.withColumn("word_ix", rank.cast("int")).drop("_w")
 
 
+def run_words(runs: DataFrame, line: str = "line_no") -> DataFrame:
+    """``words`` of fixed-pitch runs (doc_id, page_ix, line, text, x0, y0, y1, advance): places come from arithmetic, a row a word."""
+    parts = runs.select(*PAGE, line, "x0", "y0", "y1", "advance", F.posexplode(F.split("text", " ")).alias("_k", "text"))
+    before = Window.partitionBy(*PAGE, line).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    full = (F.col("text") != "").cast("int")
+    placed = parts.withColumns({"_at": F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)), "word_ix": F.coalesce(F.sum(full).over(before), F.lit(0)).cast("int")}).where("text <> ''")
+    left = F.col("x0") + F.col("advance") * F.col("_at")
+    return placed.select(*PAGE, line, "word_ix", "text", left.alias("x0"), "y0", (F.col("x0") + F.col("advance") * (F.col("_at") + F.length("text"))).alias("x1"), "y1")
+
+
+def run_hits(runs: DataFrame, areas: DataFrame, line: str = "line_no", margin: float = 0.5) -> DataFrame:
+    """(doc_id, page_ix, line, col): the characters of fixed-pitch runs that ``hit_glyphs`` would hit, a row a hit.
+
+    A run meets the areas of its page; the columns that an area can reach come
+    from arithmetic, and the exact rule judges those alone.
+    """
+    grown = areas.select(*PAGE, G.grow(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]), margin).alias("area"))
+    met = runs.join(grown, list(PAGE)).where((F.col("area.y0") <= F.col("y1")) & (F.col("y0") <= F.col("area.y1")))
+    low = F.greatest(F.floor((F.col("area.x0") - F.col("x0")) / F.col("advance")) - 1, F.lit(0))
+    high = F.least(F.ceil((F.col("area.x1") - F.col("x0")) / F.col("advance")) + 1, F.length("text") - 1)
+    reached = met.withColumns({"_low": low.cast("int"), "_high": high.cast("int")}).where("_low <= _high")
+    cols = reached.select(*PAGE, line, "area", "x0", "y0", "y1", "advance", F.explode(F.sequence("_low", "_high")).alias("col"))
+    box = F.struct((F.col("x0") + F.col("advance") * F.col("col")).alias("x0"), "y0", (F.col("x0") + F.col("advance") * (F.col("col") + 1)).alias("x1"), "y1")
+    return cols.where(G.hits(box, F.col("area"))).select(*PAGE, line, "col").distinct()
+
+
 def matches(text: DataFrame, term: str, ignore_case: bool = True, whole_word: bool = False, column: str = "text") -> DataFrame:
     """Rows with ``n_matches``; non-overlapping, leftmost, over folded text."""
     return text.withColumn("n_matches", S.count_matches(F.col(column), term, ignore_case, whole_word))

@@ -10,7 +10,7 @@ from pagewright.functions import geometry as G, strings as S
 from pagewright.operators import graph, items, layout, pages as P
 from pagewright.plans import presets
 from pagewright.plans.projections import (
-    conversation_pages, document_lines, event_annotations, glyphs, line_key, placed_images, references, table, web_pages)
+    conversation_pages, document_lines, event_annotations, glyphs, line_key, placed_images, references, runs, table, web_pages)
 
 TERM, WORD, SECRET = "the", "the", "License"
 AREAS = [(0, 100.0, 600.0, 220.0, 660.0), (0, 300.0, 690.0, 420.0, 705.0)]
@@ -41,7 +41,7 @@ def page_text(spark, d):
 
 
 def page_words(spark, d):
-    return layout.words(glyphs(spark, d)).select("doc_id", "line_no", "word_ix", "text", F.round("x0", 2).alias("x0"), F.round("x1", 2).alias("x1"))
+    return layout.run_words(runs(spark, d)).select("doc_id", "line_no", "word_ix", "text", F.round("x0", 2).alias("x0"), F.round("x1", 2).alias("x1"))
 
 
 def _numbered_lines(lines):
@@ -243,7 +243,7 @@ def skip_reasons(spark, d):
 def hit_test(spark, d):
     docs = table(spark, d, "documents").select("doc_id").distinct()
     areas = docs.select("doc_id", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("p", "x0", "y0", "x1", "y1"), a)]) for a in AREAS])).alias("a")).select("doc_id", F.col("a.p").alias("page_ix"), "a.x0", "a.y0", "a.x1", "a.y1")
-    return layout.hit_glyphs(glyphs(spark, d), areas).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
+    return layout.run_hits(runs(spark, d), areas).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
 
 
 def annot_select(spark, d):

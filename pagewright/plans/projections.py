@@ -43,6 +43,14 @@ def glyphs(spark: SparkSession, sf_dir: str, per_page: int = 45) -> DataFrame:
         baseline.alias("baseline"), F.lit(SIZE).alias("size"))
 
 
+def runs(spark: SparkSession, sf_dir: str, per_page: int = 45) -> DataFrame:
+    """(doc_id, page_ix, line_no, text, x0, y0, y1, advance): the lines of ``glyphs`` as fixed-pitch runs."""
+    baseline = F.lit(TOP) - LEADING * (F.col("line_ix") % per_page)
+    return document_lines(spark, sf_dir).select(
+        "doc_id", F.floor(F.col("line_ix") / per_page).cast("int").alias("page_ix"), F.col("line_ix").alias("line_no"), "text", F.lit(LEFT).alias("x0"),
+        (baseline - DEPTH * SIZE).alias("y0"), (baseline + RISE * SIZE).alias("y1"), F.lit(ADVANCE).alias("advance"))
+
+
 def placed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_ix, op_ix, xref, w, h): images drawn on pages."""
     return table(spark, sf_dir, "lineitem").select(

@@ -157,3 +157,38 @@ def test_presets(book):
     assert {r.doc_id for r in merged} == {1} and len(merged) == 4
     store = presets.Store(presets.builtins())
     assert presets.Store.from_json(store.to_json()).names() == sorted(presets.builtins())
+
+
+def test_lines_by_levels_are_lines_by_glyphs():
+    import random
+
+    import numpy as np
+
+    from pagewright.operators.layout import _level_lines, _lines_of
+
+    rng = random.Random(6)
+    for _ in range(200):
+        rows = []
+        for _ in range(rng.randint(1, 60)):
+            x, size = rng.choice([rng.randint(0, 30) * 6.0, rng.random() * 200]), rng.choice([8.0, 12.0, 20.0])
+            base = rng.choice([100.0, 103.0, 96.0, 90.0, 86.0, 70.0])
+            rows.append({"text": rng.choice(["a", "b", " ", "\t", "fi", "c "]), "x0": x, "x1": x + 6.0, "y0": base - 2, "y1": base + 9, "baseline": base, "size": size, "space_width": rng.choice([0.0, 4.0])})
+        columns = [np.array([r[c] for r in rows]) for c in ("x0", "y0", "x1", "y1", "baseline", "size", "space_width")]
+        assert _level_lines([r["text"] for r in rows], *columns) == _lines_of(rows)
+
+
+def test_words_and_hits_of_runs_are_those_of_their_characters(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.operators import layout
+
+    lines = [(1, 0, 0, "two  words "), (1, 0, 1, ""), (1, 1, 2, " lead é 😀x"), (2, 0, 0, "a")]
+    runs = spark.createDataFrame([(d, p, n, t, 10.0, 100.0 - 14 * n, 112.0 - 14 * n, 6.0) for d, p, n, t in lines], "doc_id bigint, page_ix int, line_no int, text string, x0 double, y0 double, y1 double, advance double")
+    glyphs = runs.select("*", F.posexplode(F.split("text", "")).alias("col", "c")).where("c <> ''").select(
+        "doc_id", "page_ix", "line_no", "col", F.col("c").alias("text"), (F.col("x0") + F.col("advance") * F.col("col")).alias("x0"), "y0", (F.col("x0") + F.col("advance") * (F.col("col") + 1)).alias("x1"), "y1")
+    key = lambda df: sorted(tuple(r[c] for c in ("doc_id", "page_ix", "line_no", "word_ix", "text", "x0", "x1", "y0", "y1")) for r in df.collect())
+    assert key(layout.run_words(runs)) == key(layout.words(glyphs))
+    areas = spark.createDataFrame([(1, 0, 14.0, 90.0, 31.0, 104.0), (1, 0, 0.0, 0.0, 12.0, 300.0), (1, 1, 11.0, 60.0, 20.0, 75.0), (2, 0, 500.0, 0.0, 600.0, 300.0)], "doc_id bigint, page_ix int, x0 double, y0 double, x1 double, y1 double")
+    spot = lambda df: sorted((r.doc_id, r.page_ix, r.line_no, r.col) for r in df.collect())
+    hits = spot(layout.run_hits(runs, areas))
+    assert hits == spot(layout.hit_glyphs(glyphs, areas)) and hits
