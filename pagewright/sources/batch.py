@@ -159,7 +159,7 @@ def apply_step(file: container.File, step: dict, assets: dict[str, bytes], warni
             sides = [[page(total - 1 - k), page(k)] if k % 2 == 0 else [page(k), page(total - 1 - k)] for k in range(total // 2)]
             _sheets(file, sides, w, h, 2, 1, step.get("margin", 0))
     elif op == "compress-images":
-        done = edit.compress_images(file, step.get("dpi", 150))
+        done = edit.compress_images(file, step.get("dpi", 150), quality=step.get("quality", 75), convert_lossless=True, min_pixels=4096)
         warnings += [f"{n} images not compressed: {why}" for why, n in sorted(done["skipped"].items(), key=lambda kv: (-kv[1], kv[0]))]
     elif op != "split":
         raise PresetError(f"unknown step {op!r}")
