@@ -39,6 +39,7 @@ from .scratch import packed, ship, unpacked
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BLOCK, CACHED = 100_000, 100_000
+LEARN = 8_192  # new units whose lattices are made at once
 LONG, STRETCH = 20_000, 4_096
 STEP, PLACE = 0xD1342543DE82EF95, 0x9E3779B97F4A7C15
 
@@ -252,7 +253,9 @@ class Sampler:
         known = len(self.units)
         code = np.fromiter(map(self.units.__getitem__, units), np.int32, len(units))
         if len(self.units) > known:
-            self._learn(list(islice(self.units, known, None)))
+            fresh = list(islice(self.units, known, None))
+            for k in range(0, len(fresh), LEARN):
+                self._learn(fresh[k : k + LEARN])
         who = np.argsort(code)
         keys, piece, before = self.keys.all, self.ids.all, self.back.all
         node, counts, drawn = self.last.all[code[who]], np.zeros(len(units), np.int64), []
