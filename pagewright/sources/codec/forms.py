@@ -98,6 +98,10 @@ def draw_value(file: File, widget: dict, field: dict, values: list[str]) -> None
     x0, y0, x1, y1 = (float(file.resolve(v)) for v in file.resolve(widget["Rect"]))
     w, h = abs(x1 - x0), abs(y1 - y0)
     style = file.resolve(widget.get("MK")) or {}
+    turn = round((file.resolve(style.get("R")) or 0) / 90) % 4 * 90
+    matrix = {0: None, 90: [0, 1, -1, 0, w, 0], 180: [-1, 0, 0, -1, w, h], 270: [0, -1, 1, 0, 0, h]}[turn]
+    if turn % 180:
+        w, h = h, w
     edge_color, fill = (file.resolve(style.get(k)) for k in ("BC", "BG"))
     line = float(file.resolve((file.resolve(widget.get("BS")) or {}).get("W", 1)) or 0) if edge_color else 0.0
     given = _inherited(file, widget, "DA")
@@ -142,7 +146,7 @@ def draw_value(file: File, widget: dict, field: dict, values: list[str]) -> None
             size = look.size or fitting(text, inner_w, inner_h, base)
             runs = line_runs([text], w, (h - (ASCENT - DESCENT) * size) / 2 - DESCENT * size, size, base, align, edge)
     body += _shown(runs, name, size, look.color) + b"Q\nEMC\n"
-    head = {"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0, 0, w, h], "Resources": {"Font": {name: font}}}
+    head = {"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0, 0, w, h], "Resources": {"Font": {name: font}}} | ({"Matrix": matrix} if matrix else {})
     widget["AP"] = {"N": file.add(Stream(head, body))}
 
 

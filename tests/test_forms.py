@@ -131,3 +131,16 @@ def test_image_annotations_keep_their_shape(turn):
     assert edit.flatten(file, 0) == 1
     use = content.page_content(again(file), again(file).pages()[0][1])[1][0]
     assert sorted((round(use["w"]), round(use["h"]))) == [50, 100]
+
+
+def test_turned_fields_and_watermarks():
+    file = sample()
+    ref = edit.add_field(file, 0, "up", (0, 0, 20, 100), size=10)
+    file.objects[ref.num]["MK"] = {"R": 90}
+    edit.set_field(file, "up", "ab")
+    form = file.resolve(edit.normal_appearance(file, file.objects[ref.num]))
+    assert form.head["BBox"] == [0, 0, 100, 20] and edit.flatten(file, 0) == 1
+    a, b = content.page_content(again(file), again(file).pages()[0][1])[0]
+    assert a["text"] + b["text"] == "ab" and abs(a["dx"]) < 1e-9 and b["y0"] > a["y0"] and 0 <= a["x0"] <= a["x1"] <= 20
+    edit.watermark(file, "DRAFT")
+    assert "".join(g["text"] for g in content.page_content(again(file), again(file).pages()[0][1])[0]).endswith("DRAFT")
