@@ -519,6 +519,12 @@ def oracle_sql() -> dict[str, str]:
             q AS (SELECT doc_id, p, length(string_agg(text, chr(10) ORDER BY line_ix)) AS n FROM g GROUP BY doc_id, p)
             SELECT doc_id, count(*) AS n, sum(n)::BIGINT AS chars FROM q GROUP BY doc_id""",
         "fold_text": f"SELECT doc_id, '\"' || {_FOLDED} || '\" - fin' AS folded FROM documents",
+        # A row takes the next word if both fit into 40 characters; a longer word begins a row and is cut every 40.
+        "wrap_text": rf"""WITH l AS (SELECT doc_id, line_ix, regexp_extract_all(text, '[^\s\x0B]+') AS w FROM {_LINES}),
+            c AS (SELECT doc_id, line_ix, list_transform(w, lambda x: rtrim(regexp_replace(x, '(.{{{{40}}}})', '\1' || chr(10), 'g'), chr(10))) AS w FROM l),
+            r AS (SELECT doc_id, line_ix, string_split(CASE WHEN len(w) = 0 THEN '' ELSE list_reduce(w, lambda a, x: a || CASE WHEN NOT contains(x, chr(10))
+              AND length(x) + 1 + (CASE WHEN contains(a, chr(10)) THEN strpos(reverse(a), chr(10)) - 1 ELSE length(a) END) <= 40 THEN ' ' ELSE chr(10) END || x) END, chr(10)) AS rows FROM c)
+            SELECT doc_id, line_ix, unnest(range(len(rows))) AS row_ix, unnest(rows) AS row FROM r""".replace("{{40}}", "{40}"),
         "measure_text": f"""SELECT doc_id, line_ix, round(12.0::DOUBLE / 1000 * (556 * length(text) - 334 * ({count('text', 'i')} + {count('text', 'l')}) + 277 * {count('text', 'm')} + 166 * {count('text', 'w')} - 278 * {count('text', ' ')}), 3) AS width FROM {_LINES}""",
         "name_stems": """SELECT doc_id, source || '.' || doc_id AS stem, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size,
             false AS flag FROM (SELECT *, n_chars * 300 AS b FROM documents)""",
