@@ -209,9 +209,11 @@ def main(argv: list[str] | None = None) -> None:
 
     from pyspark.sql import SparkSession, functions as F
 
+    from pagewright.operators.storage import ship
     from pagewright.sources import docbin, documents
 
     spark = SparkSession.builder.appName("pagewright").getOrCreate()
+    ship(spark)
     files = documents.read(spark, given.folder).withColumn("password", F.lit(given.password).cast("string"))
     if given.command in LISTS:
         for row in _listed(given, spark, files).toLocalIterator():

@@ -1,15 +1,38 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, and this package in its workers."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session, wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="pagewright-code-")  # of the driver, which hands the archive to the workers
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, "pagewright_package.zip")
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for place, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(place, name)
+                    bundle.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pagewright.functions import geometry as G, strings as S
 from pagewright.operators import graph, items, layout, pages as P
+from pagewright.operators.storage import ship
 from pagewright.plans import presets
 from pagewright.plans.projections import (
     conversation_pages, document_lines, event_annotations, glyphs, line_key, placed_images, references, runs, table, web_pages)
@@ -478,8 +480,19 @@ NAMES = (
 ).split()
 
 
+def _shipped(query):
+    """The query, with this package at hand in the workers of its session."""
+
+    @wraps(query)
+    def run(spark, d):
+        ship(spark)
+        return query(spark, d)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: globals()[name] for name in NAMES}
+    return {name: _shipped(globals()[name]) for name in NAMES}
 
 
 # ---- oracles ---------------------------------------------------------------------------------
