@@ -3,7 +3,7 @@
 The vocabulary comes from a public model file whose scores are merge ranks, so
 piece weights follow Zipf's law in the rank, normalised to probabilities. A text
 is a product of units (a run of spaces and the word after it) that no piece
-crosses. Per distinct unit, forward filtering sums the weight of all
+crosses. Per distinct unit, its lattice is found by hashes of its substrings, and forward filtering sums the weight of all
 segmentations up to each position; per occurrence, backward sampling draws the
 last piece, then the one before it, and so on, each with its exact conditional
 probability. Random numbers are hashes of the row key, the unit's place and the
@@ -24,9 +24,8 @@ import math
 import re
 from array import array
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +38,7 @@ from .scratch import packed, ship, unpacked
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BLOCK, CACHED = 100_000, 100_000
+SLOTS = 18  # log2 of the slots that the hashes of pieces fall into
 LEARN = 8_192  # new units whose lattices are made at once
 LONG, STRETCH = 20_000, 4_096
 STEP, PLACE = 0xD1342543DE82EF95, 0x9E3779B97F4A7C15
@@ -121,19 +121,49 @@ class Sampler:
         self.log = np.full(size, -np.inf)
         self.length = np.zeros(size, np.int64)
         self.bytes = byte_table(pieces, by_byte, size)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.single = single = np.full(0x110000, -1, np.int32)  # pieces of one character, by code point
         self.unit = unit_pattern([text for _, text, _ in pieces])
+        longer: dict[int, list[tuple[int, str]]] = {}
         for (i, text, _), w in zip(pieces, weight):
             self.log[i], self.length[i] = w - norm, len(text)
             if len(text) == 1:
                 single[ord(text)] = i
             else:
-                self.automaton.add_word(text, i)
-        self.automaton.make_automaton()
+                longer.setdefault(len(text), []).append((i, text))
+        #: Of each length, the hashes of its pieces in order, their ids, and a table of slots that some piece has.
+        self.by_length = []
+        for size, own in sorted(longer.items()):
+            points = np.array([list(map(ord, text)) for _, text in own], np.uint32)
+            hashes = ((points.astype(T.U) + T.U(1)) * T.powers(T.WORD_BASES[0], size)[0][:size]).sum(axis=1, dtype=T.U)
+            order = np.argsort(hashes)
+            slots = np.zeros(1 << SLOTS, bool)
+            slots[self._slot(hashes)] = True
+            self.by_length.append((size, hashes[order], np.array([i for i, _ in own])[order], slots))
         self.byte_log = float(weight.min() - norm) - 2.0
         self.reset()
 
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * T.U(STEP)) >> T.U(64 - SLOTS)
+
+    def _matches(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first character, id) of every piece of two characters or more in a run of code points, by hashes of its substrings."""
+        n = len(points)
+        up, down = T.powers(T.WORD_BASES[0], n + 1)
+        total = np.zeros(n + 1, T.U)
+        np.cumsum((points.astype(T.U) + T.U(1)) * up[:n], out=total[1:])
+        starts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, hashes, ids, slots in self.by_length:
+            if size > n:
+                break
+            here = (total[size:] - total[:-size]) * down[: n - size + 1]
+            maybe = np.flatnonzero(slots[self._slot(here)])
+            place = np.minimum(np.searchsorted(hashes, here[maybe]), len(hashes) - 1)
+            sure = hashes[place] == here[maybe]
+            starts.append(maybe[sure])
+            found.append(ids[place[sure]])
+        return np.concatenate(starts), np.concatenate(found)
+
     def reset(self) -> None:
         self.units = _Unseen()
         self.last = _Growing(np.int32)  # node at the end of each unit
@@ -146,17 +176,17 @@ class Sampler:
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         begin = np.cumsum(sizes + 1) - sizes - 1
         # A unit may hold "\n" itself, always as its last character; no piece has one, so matches never cross units.
-        pairs = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        first, piece = self._matches(points)
         owner = np.repeat(np.arange(len(fresh), dtype=np.int32), sizes + 1)[: len(joined)]
         inside = np.flatnonzero(np.arange(len(joined)) < (begin + sizes)[owner])
         char = self.single[points[inside]]
         odd = char < 0
         width = 1 + (points[inside] > 0x7F) + (points[inside] > 0x7FF) + (points[inside] > 0xFFFF)
-        end = np.concatenate([pairs[:, 0] + 1, inside + 1])
-        ids = np.concatenate([pairs[:, 1], np.where(odd, self.size + points[inside].astype(np.int64), char)])
-        log = np.concatenate([self.log[pairs[:, 1]], np.where(odd, width * self.byte_log, self.log[char])])
-        start = np.concatenate([pairs[:, 0] + 1 - self.length[pairs[:, 1]], inside])
+        start = np.concatenate([first, inside])
+        end = np.concatenate([first + self.length[piece], inside + 1])
+        ids = np.concatenate([piece, np.where(odd, self.size + points[inside].astype(np.int64), char)])
+        log = np.concatenate([self.log[piece], np.where(odd, width * self.byte_log, self.log[char])])
         first_of = begin[owner[end - 1]]
         level = end - first_of
         order = np.argsort(end, kind="stable")
@@ -206,9 +236,11 @@ class Sampler:
             i = int(self.single[point])
             width = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
             edges.append([(at, i, float(self.log[i])) if i >= 0 else (at, self.size + point, width * self.byte_log)])
-        for end, i in self.automaton.iter(unit[first:high]):
-            if first + end >= low:
-                edges[first + end - low].append((first + end + 1 - int(self.length[i]), i, float(self.log[i])))
+        starts, found = self._matches(np.frombuffer(unit[first:high].encode("utf-32-le"), np.uint32))
+        for start, i in zip((starts + first).tolist(), found.tolist()):
+            end = start + int(self.length[i])
+            if end > low:
+                edges[end - 1 - low].append((start, i, float(self.log[i])))
         return edges
 
     def sample_long(self, unit: str, seed: int) -> np.ndarray:
@@ -238,9 +270,9 @@ class Sampler:
 
     def sample(self, units: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids, number of pieces of each unit) for units with a random seed each."""
-        long = {k: self.sample_long(unit, int(seeds[k])) for k, unit in enumerate(units) if len(unit) > LONG}
-        if not long:
+        if max(map(len, units), default=0) <= LONG:
             return self._sample(units, seeds)
+        long = {k: self.sample_long(unit, int(seeds[k])) for k, unit in enumerate(units) if len(unit) > LONG}
         ids, counts = self._sample([unit if k not in long else " " for k, unit in enumerate(units)], seeds)
         parts = np.split(ids, np.cumsum(counts)[:-1])
         for k, own in long.items():
