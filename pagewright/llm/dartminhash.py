@@ -35,7 +35,7 @@ from .scratch import packed, ship, spread, stored, unpacked
 
 LAST = (1 << 63) - 1
 #: Pairs of a bucket's members that a task compares, about, and places of a bucket that a task takes.
-PAIRS, PLACES = 200_000, 1_000
+PAIRS, PLACES = 200_000, 250
 MARK_WORDS = 16  # 64-bit words of the bit array that marks a text's shingles
 LAYER, CELL, DART = T.U(0xA24BAED4963EE407), T.U(0x9FB21C651E98DF25), T.U(0xD6E8FEB86659FD93)
 
