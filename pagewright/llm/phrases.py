@@ -36,7 +36,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkernels as T
 from .scratch import ship, stored
@@ -267,17 +267,20 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     recurring = stored(contents.join(anchors, "h").where("hi > lo or c > 1").select(*content, "lo", "c", "o", "n"), "recurring")
     first = recurring.select(F.col("a").bitwiseXOR(F.col("lo")).alias("k"), "c")
     wanted, several = T.collect_bitmap(first, "k", bits), T.collect_bitmap(first.where("c > 1"), "k", bits)
-    # One row a content: its phrase, and its windows where other contents share the anchor.
+    # A row for each content and shard of its first document (rows may share an id): its phrase, and its windows where other
+    # contents share the anchor. One row of each content is the main one.
+    one = F.min("_shard").over(Window.partitionBy(*content)) == F.col("_shard")
     firsts = stored(
         slim.mapInArrow(
             _phrases(length, wanted, several),
             "_id bigint, _th bigint, h bigint, a bigint, b bigint, phrase array<int>, windows array<struct<a:bigint,b:bigint,off:int>>",
-        ).join(recurring, content).where("_id = lo").dropDuplicates(content).select("_id", shard, *content, "lo", "c", "o", "n", "phrase", "windows"), "firsts")
+        ).join(recurring, content).where("_id = lo").withColumn("_shard", shard).dropDuplicates([*content, "_shard"])
+        .select("_id", "_shard", *content, "lo", "c", "o", "n", "phrase", "windows", one.alias("main")), "firsts")
     windows = firsts.where("c > 1").select("_id", "_shard", "h", F.inline("windows"))
     # Only windows of several documents; stored, so that a hot window can be split in the join.
     earliest = stored(windows.groupBy("a", "b").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").drop("hi"), "earliest")
     single = windows.join(earliest, ["a", "b"]).where("lo < _id").select("_shard", "h", "off", F.lit(length).alias("t"), "a", "b", "lo")
-    whole = segments.select("_id", "_shard", *content).join(firsts.select(*content, "lo", "o", "n", "phrase"), content).where("_id > lo").select(
+    whole = segments.select("_id", "_shard", *content).join(firsts.where("main").select(*content, "lo", "o", "n", "phrase"), content).where("_id > lo").select(
         "_shard", "h", (-F.col("o")).alias("off"), (F.col("n") + (length - 1)).alias("t"), "a", "b", "lo", "phrase")
     # Single windows go without their phrase, which goes once for each document that has some.
     passages = whole.unionByName(single, allowMissingColumns=True).unionByName(
