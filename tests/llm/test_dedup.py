@@ -118,6 +118,20 @@ def test_substring_removal_by_hand(spark, seed):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got), key=str) == removed_by_hand(docs, 50)
 
 
+def test_rows_of_one_id_with_several_texts(spark):
+    rng = random.Random(12)
+    run = lambda n, tag: [f"{tag}{rng.randint(0, 10**6)}" for _ in range(n)]
+    shared = run(70, "s")
+    docs = [(1, " ".join(run(20, "a") + shared + run(20, "b")))]
+    edge = run(30, "e")
+    for k in range(12):  # the same id, the same stretch around what doc 1 has, different ends
+        docs.append((50, " ".join(run(60 + k, "x") + edge + shared[5:] + run(40, "y"))))
+    docs += [(None, " ".join(run(9, "n") + edge + shared + run(30, "z"))) for _ in range(4)]
+    got = phrases.removals(frame(spark, docs), shard_bytes=900, with_text=True).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got), key=str) == removed_by_hand(docs, 50)
+    assert all(r.n_removed >= 65 for r in got if r.doc_id != 1)
+
+
 def test_occurrences_come_from_the_automaton():
     import numpy as np
     import pyarrow as pa
